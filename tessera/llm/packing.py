@@ -58,18 +58,14 @@ def encoder(path: str, cache: int = 400_000):
     Where the tokenizer drops white space, words are independent of each other
     and cached; texts with special strings or control separators go whole.
     """
-    from tokenizers import Tokenizer
+    from tessera.llm.bpe import WordBpe
 
-    tok = Tokenizer.from_file(path)
-    tok.no_truncation()
-    tok.no_padding()
-    specials = tuple(t.content for t in tok.get_added_tokens_decoder().values())
-    whole = lambda text: np.asarray(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    apart = whole("a b") == whole("a") + whole("b") and whole("a\n") == whole("a")
-    words = _Ids(whole, cache)
+    bpe = WordBpe(path)
+    whole = lambda text: bpe.slow(text).tobytes()
+    words = _Ids(bpe.ids, cache)
 
     def encode(text: str) -> bytes:
-        if not apart or any(s in text for s in specials) or any(s in text for s in _ODD_SPACE):
+        if not bpe.suffix or any(s in text for s in bpe.specials) or any(s in text for s in _ODD_SPACE):
             return whole(text)
         return b"".join(map(words.__getitem__, text.split()))
 
