@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
+from functools import lru_cache
 
 import numpy as np
 from pyspark import TaskContext
@@ -52,11 +53,12 @@ class _Ids(dict):
         return ids
 
 
+@lru_cache(maxsize=1)
 def encoder(path: str, cache: int = 400_000):
     """text -> ids as little-endian unsigned 32-bit bytes, exactly the library's.
 
     Where the tokenizer drops white space, words are independent of each other
-    and cached; texts with special strings or control separators go whole.
+    and cached (a worker process keeps the cache between its tasks); texts with special strings or control separators go whole.
     """
     from tessera.llm.bpe import WordBpe
 
@@ -72,6 +74,7 @@ def encoder(path: str, cache: int = 400_000):
     return encode
 
 
+@lru_cache(maxsize=1)
 def _tables(vocab: int):
     """Bucket and sign of each id, and the projection; the same in every worker."""
     x = np.arange(vocab, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15)
