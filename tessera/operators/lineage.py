@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
+def _folder(spark) -> str:
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-ckpt-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once in the reliable checkpoint folder.
 
@@ -14,9 +23,27 @@ def cut(df: DataFrame) -> DataFrame:
     created only where none is set (tests, notebooks).  Reliable checkpoints
     survive the loss of any executor, unlike block-manager copies.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        place = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-ckpt-")
-        sc.setCheckpointDir(place)
+    _folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def store(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet beside the checkpoints and read it back.
+
+    Smaller than a checkpoint for wide or long intermediate tables, and
+    columns are pruned on reading.  The files go when the session's
+    interpreter exits.
+    """
+    spark = df.sparkSession
+    place = f"{_folder(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    atexit.register(_remove, spark, place)
+    return spark.read.schema(df.schema).parquet(place)
+
+
+def _remove(spark, place: str) -> None:
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    except Exception:  # the session is gone: its owner clears the folder
+        pass
