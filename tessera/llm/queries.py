@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tessera.llm import packing, token_counts
+from tessera.llm import packing, substrings, token_counts, toxicity
 from tessera.llm.common import table
 
 #: Places of the vocabulary files; parameters of the operators.
@@ -16,9 +16,22 @@ def op4_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE, size=4096, end_id=2)
 
 
+def op7_repeated_substrings(spark, sf_dir):
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), length=400, with_text=False).drop("kept")
+
+
 def op9_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), BYTE_BPE, limit=512)
 
 
-QUERIES = {"op4_packing": op4_packing, "op9_token_counts": op9_token_counts}
+def op10_toxicity(spark, sf_dir):
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    "op4_packing": op4_packing,
+    "op7_repeated_substrings": op7_repeated_substrings,
+    "op9_token_counts": op9_token_counts,
+    "op10_toxicity": op10_toxicity,
+}
 ORACLE_SQL: dict[str, str] = {}
