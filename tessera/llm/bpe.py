@@ -34,6 +34,30 @@ def _merger(ranks: dict[bytes, int]):
     return tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
 
+class Kept(dict):
+    """Word -> value by ``make``, in two generations of at most ``most`` words each.
+
+    When the young generation is full it becomes the old one, whose words come
+    back on their next use: frequent words stay, and memory is bounded.
+    """
+
+    def __init__(self, make, most: int, base=()):
+        super().__init__(base)
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, word):
+        got = self.old.get(word)
+        if got is None:
+            got = self.make(word)
+            if len(word) > 64:
+                return got
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[word] = got
+        return got
+
+
 class WordBpe:
     """``ids(word)``: the ids of a word that holds no white space inside."""
 
@@ -80,6 +104,7 @@ class WordBpe:
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+" if suffix else (
             r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
         self.raw = [x.tobytes() for x in self.id_of]
+        self.marks = {c: self.slow(c).tobytes() for c in ".,;:!?"}
         self.split = regex.compile(pattern).findall
         self.merge = _merger(ranks)
         if suffix:  # most words end in a to z: their final byte can stand as a capital, which lower case never uses
@@ -99,6 +124,9 @@ class WordBpe:
                 key = bytes([FINAL, b + 32]) if 65 <= b <= 90 else bytes([PLAIN, b])
                 back[order[bytes([b])]] = ranks[key]
             self.near_rank = back.tolist()
+            raw = [self.id_of[r].tobytes() for r in self.near_rank]
+            self.near_ids = raw.__getitem__
+        self.cores = Kept(self._core, 400_000)
 
     def slow(self, text: str) -> np.ndarray:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4")
@@ -127,8 +155,21 @@ class WordBpe:
     def plain(self, word: str) -> bool:
         return word.isascii() or ("Σ" not in word and "İ" not in word and unicodedata.is_normalized("NFC", word))
 
+    def _core(self, core: str) -> bytes:
+        """Ids of a lower-case word of letters, in the model that marks word ends."""
+        raw = core.encode()
+        if 97 <= raw[-1] <= 122:
+            return b"".join(map(self.near_ids, self.near(raw[:-1] + ENDS[raw[-1]])))
+        return b"".join(map(self.raw.__getitem__, self.ranks(core)))
+
     def ids(self, word: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
+        if self.suffix and (word.isascii() or self.plain(word)):
+            if word.isalpha():
+                return self.cores[word.lower()]
+            last = word[-1]
+            if last in ".,;:!?" and word[:-1].isalpha():
+                return self.cores[word[:-1].lower()] + self.marks[last]
         return b"".join(map(self.raw.__getitem__, self.ranks(word))) if self.plain(word) else self.slow(word).tobytes()
 
     def count(self, word: str) -> int:

@@ -37,22 +37,6 @@ BUCKETS, DIMS, BITS = 256, 4, 8
 _ODD_SPACE = tuple("\x1c\x1d\x1e\x1f")
 
 
-class _Ids(dict):
-    """Word -> its ids as little-endian bytes, filled on a miss, emptied when full."""
-
-    def __init__(self, encode, most):
-        super().__init__()
-        self.encode, self.most = encode, most
-
-    def __missing__(self, word):
-        ids = self.encode(word)
-        if len(word) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[word] = ids
-        return ids
-
-
 @lru_cache(maxsize=1)
 def encoder(path: str, cache: int = 400_000):
     """text -> ids as little-endian unsigned 32-bit bytes, exactly the library's.
@@ -60,11 +44,11 @@ def encoder(path: str, cache: int = 400_000):
     Where the tokenizer drops white space, words are independent of each other
     and cached (a worker process keeps the cache between its tasks); texts with special strings or control separators go whole.
     """
-    from tessera.llm.bpe import WordBpe
+    from tessera.llm.bpe import Kept, WordBpe
 
     bpe = WordBpe(path)
     whole = lambda text: bpe.slow(text).tobytes()
-    words = _Ids(bpe.ids, cache)
+    words = Kept(bpe.ids, cache)
 
     def encode(text: str) -> bytes:
         if not bpe.suffix or any(s in text for s in bpe.specials) or any(s in text for s in _ODD_SPACE):
