@@ -22,9 +22,9 @@ def search_blocks(rows: DataFrame, queries: DataFrame, find: Callable[[pa.Table,
     parts, groups = max(1, -(-n // block)), max(1, -(-m // query_block))
     row_side = rows.select(*keys, "id", "value", F.lit(False).alias("asks"),
                            F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"),
-                           F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).cast("long").alias("group"))
+                           F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group"))
     query_side = queries.select(*keys, "id", "value", F.lit(True).alias("asks"),
-                                F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("long").alias("part"),
+                                F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"),
                                 F.pmod(F.xxhash64("id"), F.lit(groups)).alias("group"))
 
     def one(t: pa.Table) -> pa.Table:

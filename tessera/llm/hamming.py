@@ -30,7 +30,7 @@ FOUND = StructType([StructField("query_id", LongType()), StructField("vec_id", L
 def sign_code(v: Column, bits: int = 64) -> Column:
     """Signs of the first 64 components as a long; null for a null vector or component."""
     each = F.transform(F.slice(v, 1, bits), lambda x, i: F.when(x.isNull(), F.lit(None).cast("long")).when(
-        x > 0, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+        x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
     return F.aggregate(each, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
 
 
