@@ -35,13 +35,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """``(node, component)`` for every end of an edge between integer ids.
+    """``(node, component)`` for every end of an edge between ids that order.
 
     ``component`` is the smallest id reachable, the node itself included.
     Edges with a null end are ignored; a node whose only edge is a self-loop
     forms its own component; no edges give no rows.
     """
-    e = edges.select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b")).where(
+    e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where(
         "a is not null and b is not null"
     )
     loops = e.where("a = b").select(F.col("a").alias("node"))
