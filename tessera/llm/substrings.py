@@ -245,24 +245,22 @@ def repeated_spans(docs: DataFrame, length: int = 400, most: int = 8192, text_co
         left.where(F.col("different") > most).select(F.col("m.k").alias("k")).distinct().withColumn("large", F.lit(True)), "k", "left"))
     small = around.where("large is null").drop("large").groupBy("k").applyInArrow(_refine(length), SPAN)
     each = scan(around.where("large"), ["k", "rid", "pos", "left", "around", "open"], _each_string(length), EACH)
-    twice = each.groupBy("k", "back", "id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    large = each.where("open").join(twice, ["k", "back", "id"], "left_semi").select(
-        "rid", (F.col("pos") - F.col("back")).cast("int").alias("a"), (F.col("pos") - F.col("back") + length).cast("int").alias("b"))
+    twice = each.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("id")
+    large = each.where("a >= 0").join(twice, "id", "left_semi").select("rid", "a", (F.col("a") + length).alias("b"))
     return local.unionByName(done).unionByName(small).unionByName(large)
 
 
-EACH = StructType([
-    StructField("k", LongType()), StructField("rid", LongType()), StructField("pos", IntegerType()),
-    StructField("open", BooleanType()), StructField("back", IntegerType()), StructField("id", LongType()),
-])
+#: One string of a large bucket: its identifier, with the bucket's and its place's mixed in; its start, or -1 if only counted.
+EACH = StructType([StructField("id", LongType()), StructField("rid", LongType()), StructField("a", IntegerType())])
 
 
 def _each_string(length: int):
     def start():
         def one(k, rid, pos, left, around, is_open):
             back, ids = _strings(around, left, length)
-            for d, h in zip(back.tolist(), ids.view(np.int64).tolist()):
-                yield k, rid, pos, is_open, d, h
+            key = _mix(_mix(ids + back.astype(np.uint64) * C1) + np.uint64(k & (1 << 64) - 1))
+            for d, h in zip(back.tolist(), key.view(np.int64).tolist()):
+                yield (h, rid, pos - d) if is_open else (h, None, -1)
 
         return one
 
