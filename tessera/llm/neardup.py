@@ -5,18 +5,18 @@
    fingerprint of the set.  Documents with equal sets are one class from here
    on: copies by the thousand count as one representative.
 2. Inverted lists.  Sketches of sets at the wanted similarity share at least
-   ``overlap`` values but for a chance below 1e-9, so it is enough to list each
-   set under its ``k - overlap + 1`` rarest values: two similar sets meet in
+   ``OVERLAP`` values but for a chance below 1e-9, so it is enough to list each
+   set under its ``K - OVERLAP + 1`` rarest values: two similar sets meet in
    one of those lists, and values of passages that many texts share drop out.
-3. In every list each set is compared with the list's pivot; sets that were
-   joined fall together.  What remains are sets of different components in one
-   list: short lists compare them directly, long ones in pairs of blocks, of
-   which one side holds only sets outside the list's largest component.  Each
-   set names its best partner in each other component, by the union-sketch
-   estimate; the round repeats until no list offers a pair not yet verified,
-   so no partner is ever dropped and no list is expanded into all pairs.
-4. A named pair is a link only if the exact Jaccard similarity of the full
-   sets, counted from the texts, reaches the threshold.
+3. Overlaps.  Pairs of short lists, and within long lists the edges of a
+   spanning forest (found block by block with union-find, so a list never
+   becomes all its pairs), are kept where the union-sketch estimate reaches
+   ``OVERLAP / K``.  Their connected components are neighbourhoods: no link
+   leads out of one.
+4. Exact links.  Each neighbourhood gathers the texts of its sets once, counts
+   exact intersections over the postings of its shingles, and gives back a
+   spanning forest of the pairs that reach the threshold.  Neighbourhoods of
+   over ``BLOCK`` sets (or of very long sets) are verified as pairs of blocks.
 
 Defined results: null, empty and blank texts have no shingles and are linked
 with nothing; texts shorter than a shingle are one shingle; repeated rows are
@@ -32,13 +32,13 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from tessera.llm.common import scan
 from tessera.operators.components import connected_components
 from tessera.operators.lineage import store
 
-K, OVERLAP, SHORT, BLOCK = 32, 14, 64, 2048
+K, OVERLAP, SHORT, BLOCK, SHINGLES = 32, 14, 16, 2048, 2_000_000
 SKETCH = StructType([
     StructField("doc_id", LongType()), StructField("n", LongType()), StructField("f1", LongType()),
     StructField("f2", LongType()), StructField("sketch", ArrayType(LongType())),
@@ -90,170 +90,166 @@ def _sketch_rows(size: int, k: int):
     return start
 
 
-def _matrix(sketches: list, k: int) -> np.ndarray:
-    m = np.full((len(sketches), k), np.iinfo(np.int64).max)
-    for j, s in enumerate(sketches):
-        m[j, : len(s)] = s
-    return m
+class Forest:
+    """Union-find over positions; ``join`` tells whether two were apart."""
 
+    def __init__(self, n: int):
+        self.up = list(range(n))
 
-def _estimates(a: np.ndarray, la: int, m: np.ndarray, lens: np.ndarray, k: int) -> np.ndarray:
-    """Union-sketch estimates of one padded sketch against a padded matrix of them."""
-    a = a[:la]
-    at = np.searchsorted(a, m)
-    hit = (at < la) & (a[np.minimum(at, la - 1)] == m) & (np.arange(k) < lens[:, None])
-    # rank of each common value in the union: its place in a, plus its place in b, less the common ones before it
-    before = np.cumsum(hit, axis=1) - hit
-    rank = at + np.arange(k) - before
-    size = np.minimum(k, la + lens - hit.sum(1))
-    return (hit & (rank < size[:, None])).sum(1) / np.maximum(1, size)
+    def find(self, i: int) -> int:
+        up = self.up
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        i, j = self.find(i), self.find(j)
+        self.up[max(i, j)] = min(i, j)
+        return i != j
 
 
 PAIR = StructType([StructField("a", LongType()), StructField("b", LongType())])
 
 
-def _best_pairs(k: int, slack: float, num: int, den: int):
-    """A block pair of one list -> for each set and foreign component the likeliest untried partner."""
+def _pairs(found: list[tuple[int, int]], ids: np.ndarray) -> pa.Table:
+    cols = [[int(min(ids[i], ids[j])) for i, j in found], [int(max(ids[i], ids[j])) for i, j in found]]
+    return pa.table({n: pa.array(c, pa.int64()) for n, c in zip("ab", cols)})
+
+
+def counted(values: list[np.ndarray], first: np.ndarray, second: np.ndarray):
+    """For each row of the first side: how many values it shares with every row."""
+    n = len(values)
+    if not n:
+        return
+    sizes = np.array([len(v) for v in values])
+    _, code, often = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n), sizes)
+    order = np.argsort(code, kind="stable")
+    lists, start = owner[order], np.concatenate([[0], np.cumsum(often)])
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    for i in np.flatnonzero(first):
+        own = code[at[i]: at[i + 1]]
+        own = own[often[own] > 1]
+        k = often[own]
+        if not len(k):
+            continue
+        rows = np.repeat(start[own] - np.cumsum(k) + k, k) + np.arange(k.sum())
+        yield int(i), np.bincount(lists[rows], minlength=n)
+
+
+def _sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that ask and rows that answer, by the column ``side``: 0 both, 1 asks, 2 answers."""
+    side = t["side"].to_numpy()
+    return side != 2, side != 1
+
+
+def _overlapping(k: int, least: float, num: int, den: int):
+    """A block pair of a long list -> spanning forest of pairs whose estimate is high enough."""
 
     def run(t: pa.Table) -> pa.Table:
-        ids, comp = t["rep"].to_numpy(), t["comp"].to_numpy()
-        n, side = t["n"].to_numpy(), t["side"].to_numpy()
-        sk = t["sketch"].to_pylist()
-        tried = t["tried"].to_pylist()
-        m, lens = _matrix(sk, k), np.array([len(s) for s in sk])
-        right = np.flatnonzero(side != 1)
-        out_a, out_b = [], []
-        for i in np.flatnonzero(side != 2):
-            js = right[(comp[right] != comp[i]) & (den * np.minimum(n[right], n[i]) >= num * np.maximum(n[right], n[i]))]
-            if tried[i]:
-                js = js[~np.isin(ids[js], tried[i])]
-            if not len(js):
-                continue
-            e = _estimates(m[i], lens[i], m[js], lens[js], k)
-            ok = e >= num / den - slack
-            js, e = js[ok], e[ok]
-            order = np.lexsort((ids[js], -e))
-            _, first = np.unique(comp[js][order], return_index=True)
-            for j in js[order[first]]:
-                lo, hi = sorted((int(ids[i]), int(ids[j])))
-                out_a.append(lo)
-                out_b.append(hi)
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+        ids, n, sk = t["rep"].to_numpy(), t["n"].to_numpy(), [np.asarray(x, np.int64) for x in t["sketch"].to_pylist()]
+        first, second = _sides(t)
+        lens, forest, found = np.array([len(x) for x in sk]), Forest(len(ids)), []
+        for i, both in counted(sk, first, second):
+            union = np.minimum(k, lens + lens[i] - both)
+            # common values can only be fewer within the union's sketch: a cheap bound first, then the estimate
+            ok = np.flatnonzero(second & (both >= least * union) & (ids != ids[i]) & (den * np.minimum(n, n[i]) >= num * np.maximum(n, n[i])))
+            for j in ok.tolist():
+                if forest.find(i) != forest.find(j) and estimate(sk[i], sk[j], k) >= least:
+                    forest.join(i, j)
+                    found.append((i, j))
+        return _pairs(found, ids)
 
     return run
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """``a, b, linked`` of distinct pairs by exact similarity of their full sets.
+def estimate(a: np.ndarray, b: np.ndarray, k: int) -> float:
+    """Union-sketch estimate of the similarity of two sets."""
+    union = np.union1d(a, b)[:k]
+    return float(np.isin(union, np.intersect1d(a, b, assume_unique=True), assume_unique=True).sum() / max(1, len(union)))
 
-    Texts join once per side; a pivot with many partners is fetched once and
-    its set is kept while its partners stream by.
-    """
-    left = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
 
-    def start():
-        last: dict = {}
+def _exact(size: int, num: int, den: int):
+    """A block pair of a neighbourhood -> spanning forest of its links."""
+
+    def run(t: pa.Table) -> pa.Table:
+        ids, sets = t["rep"].to_numpy(), [shingles(x, size) for x in t["text"].to_pylist()]
+        first, second = _sides(t)
+        n, forest, found = np.array([len(x) for x in sets]), Forest(len(ids)), []
+        for i, both in counted(sets, first, second):
+            for j in np.flatnonzero(second & (both > 0) & (ids != ids[i]) & (den * both >= num * (n + n[i] - both))).tolist():
+                if forest.join(i, j):
+                    found.append((i, j))
+        return _pairs(found, ids)
 
-        def of(i, t):
-            if i not in last:
-                if len(last) >= 64:
-                    last.clear()
-                last[i] = shingles(t, size)
-            return last[i]
+    return run
 
-        def one(a, b, ta, tb):
-            x, y = of(a, ta), of(b, tb)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            yield a, b, den * both >= num * (len(x) + len(y) - both)
 
-        return one
+def in_blocks(rows: DataFrame, key: str, blocks) -> DataFrame:
+    """``rows`` dealt to pairs of blocks ``x <= y`` of their group, with their ``side``.
 
-    schema = StructType([*PAIR.fields, StructField("linked", BooleanType())])
-    return scan(pairs.join(left, "a").join(right, "b"), ["a", "b", "ta", "tb"], start, schema)
+    ``blocks`` is the number of a group's blocks; a group of one block is dealt once.
+    """
+    mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    x = rows.withColumn("_m", mine).withColumn("_o", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
+    side = F.when(F.col("_m") == F.col("_o"), 0).when(F.col("_m") < F.col("_o"), 1).otherwise(2)
+    return x.select("*", side.alias("side"), F.least("_m", "_o").alias("x"), F.greatest("_m", "_o").alias("y")).drop("_m", "_o")
 
 
 def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, size: int = 5, id_col="doc_id", text_col="text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row; linked at ``den*both >= num*union``."""
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     sk = store(scan(base, ["doc_id", "text"], _sketch_rows(size, K), SKETCH))
-    classes = sk.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
-    classes = store(classes)
-    # inverted lists under the rarest values of each sketch
-    each = classes.select("rep", F.explode("sketch").alias("v"))
-    often = each.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    ranked = each.join(often, "v").withColumn(
-        "place", F.row_number().over(Window.partitionBy("rep").orderBy("df", "v")))
-    shared = ranked.join(classes.select("rep", "n", F.size("sketch").alias("len")), "rep")
-    # sets smaller than the sketch are held whole: their similarity is that of the sketches
-    need = F.when(F.col("len") < K, F.ceil(F.col("len") * num / den)).otherwise(F.lit(OVERLAP))
-    prefix = F.col("len") - need + 1
-    alone = F.col("len") - F.count(F.lit(1)).over(Window.partitionBy("rep"))
-    lists = store(shared.withColumn("room", prefix - alone).where("place <= room").select("rep", "v", "n"))
-    def exact(pairs):
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-        few = store(base.withColumnRenamed("doc_id", "rep").join(ids, "rep", "left_semi").groupBy("rep").agg(F.min("text").alias("text")))
-        return store(_verify(pairs, few, size, num, den))
-
-    # stars: every set of a list against the list's pivot
-    pivots = lists.groupBy("v").agg(F.min(F.struct("rep", "n")).alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    stars = lists.join(pivots, "v").where(
-        (F.col("rep") != F.col("p.rep")) & (den * F.least("n", "p.n") >= num * F.greatest("n", "p.n"))
-    ).select(F.col("p.rep").alias("a"), F.col("rep").alias("b")).distinct()
-    tried = exact(_likely(stars, classes, num / den))
-    links = tried.where("linked").select("a", "b")
-    while True:
-        comps = store(connected_components(links, "a", "b"))
-        more = store(_remaining(lists, classes, comps, tried, num, den).distinct())
-        if more.isEmpty():
-            break
-        found = exact(more)
-        tried = tried.unionByName(found)
-        if not found.where("linked").isEmpty():
-            links = tried.where("linked").select("a", "b")
-    labelled = classes.select("n", "f1", "f2", "rep").join(
-        comps.withColumnRenamed("node", "rep"), "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component_id"))
+    classes = store(sk.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(
+        F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")))
+    pairs = _candidates(classes, num, den)
+    hoods = connected_components(pairs, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("hood"))
+    hoods = store(hoods.join(classes.select("rep", "n"), "rep"))
+    room = hoods.groupBy("hood").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / SHINGLES)).alias("blocks"))
+    texts = base.withColumnRenamed("doc_id", "rep").join(hoods.join(room, "hood").select("rep", "hood", "blocks"), "rep").dropDuplicates(["rep"])
+    links = in_blocks(texts, "hood", F.col("blocks")).groupBy("hood", "x", "y").applyInArrow(_exact(size, num, den), PAIR)
+    comps = connected_components(links, "a", "b")
+    labelled = classes.select("n", "f1", "f2", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "n", "f1", "f2", F.coalesce("component", "rep").alias("component_id"))
     out = sk.select("doc_id", "n", "f1", "f2").join(labelled, ["n", "f1", "f2"], "left")
     comp = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"),
                       F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
 
 
-def _likely(pairs: DataFrame, classes: DataFrame, level: float, slack: float = 0.4) -> DataFrame:
-    """Pairs whose union-sketch estimate does not rule out the level."""
+def _candidates(classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs ``a, b`` of representatives whose components hold every link."""
+    each = classes.select("rep", F.explode("sketch").alias("v"))
+    often = each.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    mine = Window.partitionBy("rep")
+    ranked = each.join(often, "v").withColumn("place", F.row_number().over(mine.orderBy("df", "v"))).withColumn("shared", F.count(F.lit(1)).over(mine))
+    ranked = ranked.join(classes.select("rep", "n", F.size("sketch").alias("len")), "rep")
+    # sets smaller than a sketch are held whole
+    need = F.when(F.col("len") < K, F.ceil(F.col("len") * num / den)).otherwise(F.lit(OVERLAP))
+    rare = F.col("place") <= F.col("len") - need + 1 - (F.col("len") - F.col("shared"))
+    lists = store(ranked.where(rare).select("rep", "v", "n"))
+    sizes = lists.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    lists = lists.join(sizes, "v")
+    close = den * F.least("n", "m") >= num * F.greatest("n", "m")
+    few = lists.where(F.col("c") <= SHORT).select("v", "rep", "n")
+    short = few.select("v", F.col("rep").alias("a"), "n").join(few.select("v", F.col("rep").alias("b"), F.col("n").alias("m")), "v").where(
+        close & (F.col("a") < F.col("b"))).select("a", "b").distinct()
+    short = _likely(short, classes)
+    long = lists.where(F.col("c") > SHORT).join(classes.select("rep", "sketch"), "rep")
+    long = in_blocks(long, "v", F.ceil(F.col("c") / BLOCK)).select("v", "x", "y", "rep", "n", "sketch", "side").groupBy(
+        "v", "x", "y").applyInArrow(_overlapping(K, OVERLAP / K, num, den), PAIR)
+    return short.unionByName(long).distinct()
+
+
+def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs whose union-sketch estimate reaches OVERLAP / K."""
     c = classes.select("rep", "sketch")
     both = pairs.join(c.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a").join(
         c.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
     e = F.size(F.array_intersect(union, F.array_intersect("sa", "sb"))) / F.size(union)
-    return both.where(e >= level - slack).select("a", "b")
-
-
-def _remaining(lists, classes, comps, tried, num, den):
-    """Pairs still to verify: different components of one list, not tried, likely enough."""
-    l = lists.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-    mixed = l.groupBy("v").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("c")).where("x <> y")
-    l = l.join(mixed.select("v", "c"), "v").select("v", "rep", "n", "comp", "c")
-    heavy = l.where(F.col("c") > SHORT).groupBy("v", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("v").agg(
-        F.max_by("comp", F.struct("m", "comp")).alias("main"), F.sum("m").alias("total"))
-    past = tried.where("not linked")
-    past = past.select("a", "b").union(past.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.collect_list("b").alias("tried"))
-    info = classes.select("rep", "sketch").join(past.withColumnRenamed("a", "rep"), "rep", "left").select(
-        "rep", "sketch", F.coalesce("tried", F.array().cast("array<long>")).alias("tried"))
-    short = l.where(F.col("c") <= SHORT).select("v", "rep", "n", "comp", F.lit(0).alias("side"), F.lit(0).alias("x"), F.lit(0).alias("y"))
-    # long lists: blocks of sets outside the main component (side 1) against blocks of all sets (side 2)
-    long = l.join(heavy, "v").withColumn("rows", F.ceil(F.col("total") / BLOCK).cast("int"))
-    outside = long.where("comp <> main")
-    sizes = outside.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("outs"))
-    h = F.abs(F.xxhash64("rep"))
-    side1 = outside.join(sizes, "v").withColumn("x", (h % F.col("outs")).cast("int")).withColumn(
-        "y", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)))
-    side2 = long.join(sizes, "v").withColumn("y", (h % F.col("rows")).cast("int")).withColumn(
-        "x", F.explode(F.sequence(F.lit(0), F.col("outs") - 1)))
-    rows = short.unionByName(side1.select("v", "rep", "n", "comp", F.lit(1).alias("side"), "x", "y")).unionByName(
-        side2.select("v", "rep", "n", "comp", F.lit(2).alias("side"), "x", "y"))
-    return rows.join(info, "rep").select("v", "x", "y", "rep", "n", "comp", "side", "sketch", "tried").groupBy(
-        "v", "x", "y").applyInArrow(_best_pairs(K, 0.4, num, den), PAIR)
+    return both.where(e >= OVERLAP / K).select("a", "b")
 
 
 def keep_one(docs: DataFrame, num: int = 85, den: int = 100, size: int = 5, id_col="doc_id", text_col="text") -> DataFrame:
