@@ -72,7 +72,7 @@ ORACLE_SQL: dict[str, str] = {
         WITH e AS (SELECT vec_id, embedding FROM embeddings WHERE embedding IS NOT NULL),
         near AS (
             SELECT q.vec_id AS query_id, e.vec_id AS vec_id,
-                   CAST(list_sum(list_transform(range(1, 65), i -> CAST((q.embedding[i] > 0) <> (e.embedding[i] > 0) AS INTEGER))) AS INTEGER) AS distance
+                   CAST(list_sum(list_transform(range(1, 65), lambda i: CAST((q.embedding[i] > 0) <> (e.embedding[i] > 0) AS INTEGER))) AS INTEGER) AS distance
             FROM e AS q JOIN e ON e.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, distance FROM (
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM near) WHERE rank <= 10""",
