@@ -94,7 +94,7 @@ program("mutual_recursion", "ev[x] <- [[0]]; od[y] := ev[x], x < 20, y = x + 1;
         "SELECT CAST(n_nationkey AS BIGINT) AS x FROM nation WHERE n_nationkey % 2 = 0 AND n_nationkey <= 20", ["x"])
 program("cheapest_path", "e[a, b, w] := *nation{n_nationkey: a, n_regionkey: r}, b = (a * 2 + 1) % 25, w = r + 1; e[a, b, w] := *nation{n_nationkey: a}, b = (a + 7) % 25, w = 3; d[x, min(c)] := e[0, x, c]; d[y, min(c)] := d[x, c0], e[x, y, w], c = c0 + w; ?[x, c] := d[x, c]",
         "WITH RECURSIVE e AS (SELECT n_nationkey AS a, (n_nationkey * 2 + 1) % 25 AS b, n_regionkey + 1 AS w FROM nation UNION SELECT n_nationkey, (n_nationkey + 7) % 25, 3 FROM nation), d(x, c) AS (SELECT b, w FROM e WHERE a = 0 UNION SELECT e.b, d.c + e.w FROM d JOIN e ON e.a = d.x WHERE d.c < 60) SELECT CAST(x AS BIGINT) AS x, CAST(min(c) AS BIGINT) AS c FROM d GROUP BY 1", ["x", "c"])
-program("stratified_negation", f"{_SHARED}; r[x] := e[-2, x]; r[y] := r[x], e[x, y]; ?[a] := *part{p_partkey: a}, not r[a]",
+program("stratified_negation", f"{_SHARED}; r[x] := e[-2, x]; r[y] := r[x], e[x, y]; ?[a] := *part{{p_partkey: a}}, not r[a]",
         f"WITH RECURSIVE {_SHARED_SQL}, r(x) AS (SELECT b FROM e WHERE a = -2 UNION SELECT e.b FROM r JOIN e ON e.a = r.x) SELECT p_partkey AS a FROM part WHERE p_partkey NOT IN (SELECT x FROM r)", ["a"])
 program("string_functions", "?[k, u, h, c, s, e] := *part{p_partkey: k, p_name: n, p_type: t}, u = uppercase(n), h = slice_string(n, 0, 3), c = n ++ '/' ++ t, s = starts_with(t, 'E'), e = length(t)",
         "SELECT p_partkey AS k, upper(p_name) AS u, substr(p_name, 1, 3) AS h, p_name || '/' || p_type AS c, starts_with(p_type, 'E') AS s, CAST(length(p_type) AS BIGINT) AS e FROM part", ["k", "u", "h", "c", "s", "e"])
