@@ -189,7 +189,7 @@ def atom_vars(a) -> set[str]:
 class Engine:
     """Evaluates programs against a catalog of relations."""
 
-    def __init__(self, spark: SparkSession, catalog=None, max_epochs: int = 1_000_000, max_rows: int = 50_000_000):
+    def __init__(self, spark: SparkSession, catalog=None, max_epochs: int = 1_000_000, max_rows: int | None = None):
         self.spark, self.catalog, self.max_epochs, self.max_rows = spark, catalog, max_epochs, max_rows
         self.extra: dict[str, DataFrame] = {}
         self.algorithms: dict[str, object] = {}
@@ -464,7 +464,7 @@ class Engine:
         if set(delta) != inside:
             raise UnsafeRule(f"recursion without a base: {sorted(inside - set(delta))}")
         total = {n: [delta[n]] for n in group}
-        epoch = 0
+        epoch = derived = 0
         while True:
             self._check()
             epoch += 1
@@ -495,7 +495,14 @@ class Engine:
                     if len(total[n]) > 12:
                         total[n] = [cut(union_all(total[n]))]
                 new_delta[n] = new
-                changed |= not new.isEmpty()
+                if self.max_rows is None:
+                    changed |= not new.isEmpty()
+                else:
+                    count = new.count()
+                    derived += count
+                    changed |= count > 0
+                    if derived > self.max_rows:
+                        raise LimitExceeded("derived rows")
             delta = new_delta
             if not changed:
                 break
