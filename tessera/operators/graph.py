@@ -14,11 +14,12 @@ import heapq
 import random
 from collections import defaultdict, deque
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tessera.errors import LimitExceeded, Refusal, TypeRefusal
 from tessera.operators.components import connected_components
 from tessera.operators.lineage import cut
+from tessera.operators.ranking import numbered, ranked
 
 MAX_EDGES = 5_000_000
 REGISTRY: dict[str, object] = {}
@@ -152,22 +153,23 @@ def simple(e: DataFrame) -> DataFrame:
 
 @rule("KCoreDecomposition")
 def k_core(spark, inputs, o):
+    """Waves of peeling: what has at most ``k`` neighbours left goes, and ``k`` rises to the least degree."""
     e = edges_of(inputs[0])
-    nodes, left = nodes_of(e), cut(simple(e))
-    core = cut(nodes.select("n", F.lit(0).cast("bigint").alias("core")))
-    k = 1
-    while not left.isEmpty():
-        while True:  # peel what has fewer than k neighbours
-            weak_ = left.groupBy("s").agg(F.count(F.lit(1)).alias("deg")).where(F.col("deg") < k).select("s")
-            kept = cut(left.join(weak_, "s", "left_anti").join(weak_.withColumnRenamed("s", "d"), "d", "left_anti").select("s", "d"))
-            same = kept.count() == left.count()
-            left = kept
-            if same:
-                break
-        alive = left.select(F.col("s").alias("x")).distinct()
-        core = cut(core.join(alive, core["n"] == alive["x"], "left").select("n", F.when(F.col("x").isNotNull(), k).otherwise(F.col("core")).cast("bigint").alias("core")))
-        k += 1
-    return core
+    nodes, left, k = nodes_of(e), cut(simple(e)), 0
+    done = nodes.limit(0).select("n", F.lit(0).cast("bigint").alias("core"))
+    waves = 0
+    while True:
+        deg = cut(left.groupBy("s").agg(F.count(F.lit(1)).alias("deg")))
+        least = deg.agg(F.min("deg")).first()[0]
+        if least is None:
+            break
+        k, waves = max(k, least), waves + 1
+        gone = deg.where(F.col("deg") <= k).select(F.col("s").alias("n"), F.lit(k).cast("bigint").alias("core"))
+        done = done.unionByName(gone)
+        done = cut(done) if waves % 12 == 0 else done
+        ends = gone.select("n")
+        left = cut(left.join(ends.withColumnRenamed("n", "s"), "s", "left_anti").join(ends.withColumnRenamed("n", "d"), "d", "left_anti").select("s", "d"))
+    return nodes.join(done, "n", "left").select("n", F.coalesce("core", F.lit(0)).cast("bigint").alias("core"))
 
 
 @rule("ClusteringCoefficients")
@@ -318,7 +320,7 @@ def top_sort(spark, inputs, o):
         level += 1
     if levels is None:
         return left.limit(0).select(F.lit(0).cast("bigint").alias("i"), "n")
-    return levels.select((F.row_number().over(Window.orderBy("level", "n")) - 1).cast("bigint").alias("i"), "n")
+    return numbered(levels.select("level", "n"), [F.col("level"), F.col("n")]).select((F.col("_row") - 1).alias("i"), "n")
 
 
 @rule("LabelPropagation")
@@ -635,13 +637,12 @@ def reorder_sort(spark, inputs, o):
     down = bool(flag(o, "descending", False))
     by = flag(o, "sort_by", list(range(len(cols))))
     by = [by] if not isinstance(by, list) else by
-    keys = [(cols[k].desc_nulls_last() if down else cols[k].asc_nulls_first()) for k in by]
-    row = F.row_number().over(Window.orderBy(*keys, *cols))
-    rank = row if flag(o, "break_ties", False) else F.rank().over(Window.orderBy(*keys))
-    out = df.select(row.alias("_row"), rank.cast("bigint").alias("rank"), *[cols[k] for k in flag(o, "out", list(range(len(cols))))])
+    x = ranked(df, [(cols[k], down) for k in by], [c.asc_nulls_first() for c in cols])
+    number = F.col("_row") if flag(o, "break_ties", False) else F.col("_rank")
     skip, take = int(flag(o, "skip", 0)), int(flag(o, "take", 0))
-    out = out.where(F.col("_row") > skip)
-    return (out.where(F.col("_row") <= skip + take) if take else out).drop("_row")
+    x = x.where(F.col("_row") > skip)
+    x = x.where(F.col("_row") <= skip + take) if take else x
+    return x.select(number.alias("rank"), *[cols[k] for k in flag(o, "out", list(range(len(cols))))])
 
 
 @rule("Constant")

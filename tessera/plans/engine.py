@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from tessera.errors import LimitExceeded, NotStratifiable, Refusal, TypeRefusal, UnknownName, UnsafeRule
 from tessera.functions import aggregates, scalar
 from tessera.operators.lineage import cut
+from tessera.operators.ranges import interval_join
 from tessera.plans.parser import And, Call, Cond, HeadArg, Lit, Not, Or, Program, Rule, RuleAtom, SearchAtom, StoredAtom, Unify, Var, constant, parse
 
 
@@ -348,9 +349,42 @@ class Engine:
             if ready is None:
                 raise UnsafeRule(f"cannot bind the variables of {left[0]}")
             left.remove(ready)
-            f = self._atom(ready, f, env)
+            f = self._intersecting(ready, f, left, env) or self._atom(ready, f, env)
         return f
 
+    def _intersecting(self, a, f: Frame, left: list, env) -> Frame | None:
+        """A product that ``interval_intersects`` restricts, as a range join.
+
+        Takes the atoms it used out of ``left``; gives nothing where the
+        pattern is absent.
+        """
+        if not isinstance(a, (RuleAtom, StoredAtom)) or not f.bound or atom_vars(a) & set(f.bound):
+            return None
+        tests = [c for c in left if isinstance(c, Cond) and isinstance(c.expr, Call) and c.expr.name == "interval_intersects" and all(isinstance(x, Var) for x in c.expr.args)]
+        if not tests:
+            return None
+        right, used = self._atom(a, Frame(self.spark), env), []
+        while True:  # what concerns the new atom alone
+            own = next((c for c in left if c not in used and (
+                isinstance(c, Unify) and variables(c.expr) and c.var not in f.bound or isinstance(c, Cond)) and variables(c.expr) <= set(right.bound)), None)
+            if own is None:
+                break
+            right = self._atom(own, right, env)
+            used.append(own)
+        for c in tests:
+            x, y = (v.name for v in c.expr.args)
+            x, y = (x, y) if x in f.bound else (y, x)
+            if c not in used and x in f.bound and y in right.bound:
+                break
+        else:
+            return None
+        for u in (*used, c):
+            left.remove(u)
+        ends = lambda g, v, n: g.df.where(~g.col(v)["empty"]).withColumn(f"_{n}lo", g.col(v)["lo"]).withColumn(f"_{n}hi", g.col(v)["hi"])
+        both = interval_join(ends(f, x, "a"), ends(right, y, "b"), ("_alo", "_ahi"), ("_blo", "_bhi"))
+        bound = (*f.bound, *right.bound)
+        return Frame(self.spark, both.select(*[F.col(f"`{mangle(v)}`") for v in bound]), bound)
+
     def _ready(self, a, f: Frame) -> bool:
         if isinstance(a, (RuleAtom, StoredAtom)):
             args = ([v for _, v in a.args] if a.named else a.args) if isinstance(a, StoredAtom) else a.args

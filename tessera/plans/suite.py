@@ -107,6 +107,8 @@ program("conditionals", "?[k, s, c] := *part{p_partkey: k, p_size: z}, s = if(z
 program("json_field", "?[e, v] := *events{event_id: e, props: p}, v = dump_json(json(is_null(p -> 'k')))", "SELECT event_id AS e, CASE WHEN json_extract(props, '$.k') IS NULL THEN 'true' ELSE 'false' END AS v FROM events", ["e", "v"])
 program("interval_join", "?[k, l] := *orders{o_orderkey: k, o_orderdate: d}, *lineitem{l_orderkey: k, l_linenumber: l, l_shipdate: s}, interval_intersects(make_interval(d, d + 2592000000000), make_interval(s, s))",
         "SELECT DISTINCT o_orderkey AS k, CAST(l_linenumber AS BIGINT) AS l FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE epoch_us(l_shipdate) BETWEEN epoch_us(o_orderdate) AND epoch_us(o_orderdate) + 2592000000000", ["k", "l"])
+program("range_join", "p[k, i] := *part{p_partkey: k, p_size: z, p_retailprice: r}, i = make_interval(to_int(r), to_int(r) + z); ?[k, s] := p[k, i], *supplier{s_suppkey: s, s_acctbal: b}, j = make_interval(to_int(b), to_int(b) + 9), interval_intersects(i, j)",
+        "SELECT p_partkey AS k, s_suppkey AS s FROM part JOIN supplier ON trunc(p_retailprice)::BIGINT <= trunc(s_acctbal)::BIGINT + 9 AND trunc(s_acctbal)::BIGINT <= trunc(p_retailprice)::BIGINT + p_size", ["k", "s"])
 
 
 def _events(spark, sf_dir) -> Database:
@@ -150,10 +152,19 @@ def algorithm(name: str, rule: str, columns: list[str], sql: str | None, options
 algorithm("degree_centrality", "DegreeCentrality", ["n", "total", "o", "i"], f"{_BI} SELECT n, CAST(sum(o) + sum(i) AS BIGINT) AS total, CAST(sum(o) AS BIGINT) AS o, CAST(sum(i) AS BIGINT) AS i FROM (SELECT a AS n, 1 AS o, 0 AS i FROM e UNION ALL SELECT b, 0, 1 FROM e) GROUP BY 1")
 algorithm("connected_components", "ConnectedComponents", ["n", "c"], None)
 algorithm("clustering", "ClusteringCoefficients", ["n", "k", "t", "d"], f"{_BI} SELECT a AS n, 0.0::DOUBLE AS k, 0::BIGINT AS t, count(*) AS d FROM u GROUP BY 1")
-algorithm("pagerank", "PageRank", ["n", "s"], None)
+add("components_small", """WITH RECURSIVE e AS (SELECT n_nationkey::BIGINT AS a, ((n_nationkey * 5 + 10) % 25)::BIGINT AS b FROM nation), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+        r(n, m) AS (SELECT a, a FROM u UNION SELECT u.b, r.m FROM r JOIN u ON u.a = r.n) SELECT n, min(m) AS c FROM r GROUP BY 1""",
+    lambda spark, sf: database(spark, sf, ["nation"]).run("e[a, b] := *nation{n_nationkey: a}, b = (a * 5 + 10) % 25; ?[n, c] <~ ConnectedComponents(e[])").toDF("n", "c"))
+_PR = ["n AS (SELECT a AS n FROM e UNION SELECT b FROM e)", "k AS (SELECT count(*) AS k FROM n)", "l AS (SELECT e.a, e.b, 1.0::DOUBLE / d.d AS p FROM e JOIN (SELECT a, count(*) AS d FROM e GROUP BY 1) d ON d.a = e.a)",
+       "s0 AS (SELECT n, 1.0::DOUBLE / k AS s FROM n, k)"] + [
+    f"s{i} AS (SELECT n.n, 0.15::DOUBLE / k + 0.85::DOUBLE * coalesce(x.x, 0) AS s FROM n CROSS JOIN k LEFT JOIN (SELECT l.b, sum(l.p * s) AS x FROM l JOIN s{i - 1} ON s{i - 1}.n = l.a GROUP BY 1) x ON x.b = n.n)" for i in (1, 2, 3)]
+_pagerank = lambda spark, sf: graph.REGISTRY["PageRank"](spark, [bipartite(spark, sf)], {"epsilon": 0.0, "iterations": 3}).toDF("n", "s").select("n", F.round("s", 9).alias("s"))
+add("pagerank", f"WITH e AS (SELECT DISTINCT l_partkey AS a, -1 - l_suppkey AS b FROM lineitem), {', '.join(_PR)} SELECT n, round(s, 9) AS s FROM s3", _pagerank)
 algorithm("k_core", "KCoreDecomposition", ["n", "core"], None)
 algorithm("label_propagation", "LabelPropagation", ["l", "n"], None)
-algorithm("kruskal", "MinimumSpanningForestKruskal", ["a", "b", "w"], None)
+add("kruskal", """WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, -1 - l_suppkey AS b FROM lineitem), n AS (SELECT a AS n FROM e UNION SELECT b FROM e), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+        r(x) AS (SELECT min(n) FROM n UNION SELECT u.b FROM r JOIN u ON u.a = r.x) SELECT count(*) - 1 AS edges, (count(*) - 1)::DOUBLE AS cost FROM r""",
+    lambda spark, sf: graph.REGISTRY["MinimumSpanningForestKruskal"](spark, [bipartite(spark, sf)], {}).agg(F.count(F.lit(1)).alias("edges"), F.sum("cost").alias("cost")))
 add("top_sort", None, lambda spark, sf: graph.REGISTRY["TopSort"](spark, [bipartite(spark, sf)], {}).toDF("i", "n"))
 
 add("knn", """SELECT q, b, round(d, 9) AS d FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, b) AS r FROM (
