@@ -5,18 +5,17 @@
    fingerprint of the set.  Documents with equal sets are one class from here
    on: copies by the thousand count as one representative.
 2. Inverted lists.  Sketches of sets at the wanted similarity share at least
-   ``OVERLAP`` values but for a chance below 1e-9, so it is enough to list each
-   set under its ``K - OVERLAP + 1`` rarest values: two similar sets meet in
+   ``overlap`` values but for a chance below 1e-9, so it is enough to list each
+   set under its ``K - overlap + 1`` rarest values: two similar sets meet in
    one of those lists, and values of passages that many texts share drop out.
-3. Overlaps.  Pairs of short lists, and within long lists the edges of a
-   spanning forest (found block by block with union-find, so a list never
-   becomes all its pairs), are kept where the union-sketch estimate reaches
-   ``OVERLAP / K``.  Their connected components are neighbourhoods: no link
-   leads out of one.
+3. Overlaps.  The few pairs of short lists, and within long lists the edges of
+   a spanning forest (a list never becomes all its pairs), are kept where the
+   union-sketch estimate reaches ``overlap / K``.  Their connected components
+   are neighbourhoods: no link leads out of one.
 4. Exact links.  Each neighbourhood gathers the texts of its sets once, counts
    exact intersections over the postings of its shingles, and gives back a
-   spanning forest of the pairs that reach the threshold.  Neighbourhoods of
-   over ``BLOCK`` sets (or of very long sets) are verified as pairs of blocks.
+   spanning forest of the pairs that reach the threshold.
+Lists and neighbourhoods of over ``BLOCK`` sets are verified as ``linked`` says.
 
 Defined results: null, empty and blank texts have no shingles and are linked
 with nothing; texts shorter than a shingle are one shingle; repeated rows are
@@ -26,6 +25,7 @@ null); an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -38,7 +38,7 @@ from tessera.llm.common import scan
 from tessera.operators.components import connected_components
 from tessera.operators.lineage import store
 
-K, OVERLAP, SHORT, BLOCK, SHINGLES = 32, 14, 16, 2048, 2_000_000
+K, SHORT, BLOCK, PIVOTS, SHINGLES = 64, 16, 2048, 4, 2_000_000
 SKETCH = StructType([
     StructField("doc_id", LongType()), StructField("n", LongType()), StructField("f1", LongType()),
     StructField("f2", LongType()), StructField("sketch", ArrayType(LongType())),
@@ -90,111 +90,128 @@ def _sketch_rows(size: int, k: int):
     return start
 
 
-class Forest:
-    """Union-find over positions; ``join`` tells whether two were apart."""
+PAIR = StructType([StructField("a", LongType()), StructField("b", LongType())])
 
-    def __init__(self, n: int):
-        self.up = list(range(n))
 
-    def find(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
+class Overlaps:
+    """Sizes of intersections among sets, by postings of their shared values."""
 
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.find(i), self.find(j)
-        self.up[max(i, j)] = min(i, j)
-        return i != j
+    def __init__(self, values: list[np.ndarray]):
+        self.n, sizes = len(values), np.array([len(v) for v in values], np.int64)
+        _, self.code, often = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(self.n), sizes)
+        self.lists = owner[np.argsort(self.code, kind="stable")]
+        self.often, self.start = often, np.concatenate([[0], np.cumsum(often)])
+        self.at = np.concatenate([[0], np.cumsum(sizes)])
 
+    def of(self, i: int) -> np.ndarray:
+        """How many values set ``i`` shares with every set."""
+        own = self.code[self.at[i]: self.at[i + 1]]
+        own = own[self.often[own] > 1]
+        k = self.often[own]
+        rows = np.repeat(self.start[own] - np.cumsum(k) + k, k) + np.arange(k.sum())
+        return np.bincount(self.lists[rows], minlength=self.n)
 
-PAIR = StructType([StructField("a", LongType()), StructField("b", LongType())])
 
+def forest(t: pa.Table, values: list[np.ndarray], fits, confirm=None) -> pa.Table:
+    """Edges that join what links join; pairs already in one component are skipped.
 
-def _pairs(found: list[tuple[int, int]], ids: np.ndarray) -> pa.Table:
-    cols = [[int(min(ids[i], ids[j])) for i, j in found], [int(max(ids[i], ids[j])) for i, j in found]]
-    return pa.table({n: pa.array(c, pa.int64()) for n, c in zip("ab", cols)})
-
-
-def counted(values: list[np.ndarray], first: np.ndarray, second: np.ndarray):
-    """For each row of the first side: how many values it shares with every row."""
-    n = len(values)
-    if not n:
-        return
-    sizes = np.array([len(v) for v in values])
-    _, code, often = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(n), sizes)
-    order = np.argsort(code, kind="stable")
-    lists, start = owner[order], np.concatenate([[0], np.cumsum(often)])
-    at = np.concatenate([[0], np.cumsum(sizes)])
-    for i in np.flatnonzero(first):
-        own = code[at[i]: at[i + 1]]
-        own = own[often[own] > 1]
-        k = often[own]
-        if not len(k):
+    ``side``: 0 asks and answers, 1 asks, 2 answers.  ``fits(i, shared)`` masks
+    the rows that may link to row ``i``; ``confirm(i, j)`` has the last word.
+    """
+    ids, side = t["rep"].to_numpy(), t["side"].to_numpy()
+    comp = np.unique(t["label"].to_numpy(), return_inverse=True)[1]
+    shared, answers, edges = None, side != 1, []
+    for i in np.flatnonzero(side != 2).tolist():
+        apart = answers & (comp != comp[i])
+        if not apart.any():
             continue
-        rows = np.repeat(start[own] - np.cumsum(k) + k, k) + np.arange(k.sum())
-        yield int(i), np.bincount(lists[rows], minlength=n)
+        shared = shared or Overlaps(values)
+        near = np.flatnonzero(apart & fits(i, shared.of(i)))
+        if confirm is None:
+            found, first = np.unique(comp[near], return_index=True)
+            edges += [(ids[i], ids[j]) for j in near[first]]
+            comp[np.isin(comp, found)] = comp[i]
+        else:
+            for j in near.tolist():
+                if comp[j] != comp[i] and confirm(i, j):
+                    edges.append((ids[i], ids[j]))
+                    comp[comp == comp[j]] = comp[i]
+    x = np.array(edges, np.int64).reshape(-1, 2)
+    return pa.table({"a": x.min(axis=1) if len(x) else x[:, 0], "b": x.max(axis=1) if len(x) else x[:, 1]})
 
 
-def _sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that ask and rows that answer, by the column ``side``: 0 both, 1 asks, 2 answers."""
-    side = t["side"].to_numpy()
-    return side != 2, side != 1
+def estimate(a: np.ndarray, b: np.ndarray, k: int) -> float:
+    """Union-sketch estimate of the similarity of two sets."""
+    union = np.union1d(a, b)[:k]
+    return float(np.isin(union, np.intersect1d(a, b, assume_unique=True), assume_unique=True).sum() / max(1, len(union)))
 
 
-def _overlapping(k: int, least: float, num: int, den: int):
-    """A block pair of a long list -> spanning forest of pairs whose estimate is high enough."""
+def _by_sketch(k: int, least: float, num: int, den: int):
+    """Rows of a long list -> edges between those whose estimate is high enough."""
 
     def run(t: pa.Table) -> pa.Table:
-        ids, n, sk = t["rep"].to_numpy(), t["n"].to_numpy(), [np.asarray(x, np.int64) for x in t["sketch"].to_pylist()]
-        first, second = _sides(t)
-        lens, forest, found = np.array([len(x) for x in sk]), Forest(len(ids)), []
-        for i, both in counted(sk, first, second):
-            union = np.minimum(k, lens + lens[i] - both)
-            # common values can only be fewer within the union's sketch: a cheap bound first, then the estimate
-            ok = np.flatnonzero(second & (both >= least * union) & (ids != ids[i]) & (den * np.minimum(n, n[i]) >= num * np.maximum(n, n[i])))
-            for j in ok.tolist():
-                if forest.find(i) != forest.find(j) and estimate(sk[i], sk[j], k) >= least:
-                    forest.join(i, j)
-                    found.append((i, j))
-        return _pairs(found, ids)
+        n, sk = t["n"].to_numpy(), [np.asarray(x, np.int64) for x in t["sketch"].to_pylist()]
+        lens = np.array([len(x) for x in sk])
 
-    return run
+        def fits(i, both):  # a cheap bound first: common values can only be fewer within the union's sketch
+            return (both >= least * np.minimum(k, lens + lens[i] - both)) & (den * np.minimum(n, n[i]) >= num * np.maximum(n, n[i]))
 
+        return forest(t, sk, fits, lambda i, j: estimate(sk[i], sk[j], k) >= least)
 
-def estimate(a: np.ndarray, b: np.ndarray, k: int) -> float:
-    """Union-sketch estimate of the similarity of two sets."""
-    union = np.union1d(a, b)[:k]
-    return float(np.isin(union, np.intersect1d(a, b, assume_unique=True), assume_unique=True).sum() / max(1, len(union)))
+    return run
 
 
-def _exact(size: int, num: int, den: int):
-    """A block pair of a neighbourhood -> spanning forest of its links."""
+def _by_shingles(size: int, num: int, den: int):
+    """Rows of a neighbourhood -> edges that reach the threshold on full sets."""
 
     def run(t: pa.Table) -> pa.Table:
-        ids, sets = t["rep"].to_numpy(), [shingles(x, size) for x in t["text"].to_pylist()]
-        first, second = _sides(t)
-        n, forest, found = np.array([len(x) for x in sets]), Forest(len(ids)), []
-        for i, both in counted(sets, first, second):
-            for j in np.flatnonzero(second & (both > 0) & (ids != ids[i]) & (den * both >= num * (n + n[i] - both))).tolist():
-                if forest.join(i, j):
-                    found.append((i, j))
-        return _pairs(found, ids)
+        sets = [shingles(x, size) for x in t["text"].to_pylist()]
+        n = np.array([len(x) for x in sets])
+        return forest(t, sets, lambda i, both: (both > 0) & (den * both >= num * (n + n[i] - both)))
 
     return run
 
 
-def in_blocks(rows: DataFrame, key: str, blocks) -> DataFrame:
-    """``rows`` dealt to pairs of blocks ``x <= y`` of their group, with their ``side``.
+def linked(rows: DataFrame, key: str, check) -> DataFrame:
+    """Edges ``a, b`` with the components of all links inside each group of ``key``.
 
-    ``blocks`` is the number of a group's blocks; a group of one block is dealt once.
+    ``rows`` has ``key``, ``rep``, ``blocks`` (how many its group needs) and what
+    ``check`` reads.  Groups of several blocks are first verified block by block,
+    with the same few pivots as guests in every block: that joins uniform groups
+    as a whole.  Only what stays outside a group's largest component is then
+    verified against the other blocks.
     """
-    mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    x = rows.withColumn("_m", mine).withColumn("_o", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
-    side = F.when(F.col("_m") == F.col("_o"), 0).when(F.col("_m") < F.col("_o"), 1).otherwise(2)
-    return x.select("*", side.alias("side"), F.least("_m", "_o").alias("x"), F.greatest("_m", "_o").alias("y")).drop("_m", "_o")
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    rows = rows.withColumn("x", own)
+    large = rows.where("blocks > 1")
+    some = not large.select("rep").isEmpty()
+    if some:
+        seeds = [F.min_by("rep", F.xxhash64("rep", F.lit(s))) for s in range(PIVOTS)]
+        pivots = large.groupBy(key).agg(F.array_distinct(F.array(*seeds)).alias("rep")).select(key, F.explode("rep").alias("rep"))
+        guests = large.join(pivots, [key, "rep"]).withColumnRenamed("x", "own").withColumn(
+            "x", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))).where("x <> own").drop("own")
+        whole = rows.unionByName(guests)
+    else:
+        whole = rows
+    first = whole.withColumn("side", F.lit(0)).withColumn("label", F.col("rep")).groupBy(key, "x").applyInArrow(check, PAIR)
+    if not some:
+        return first
+    first = store(first)
+    label = connected_components(first, "a", "b").withColumnRenamed("node", "rep")
+    left = large.drop("x").join(label, "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
+    sizes = left.groupBy(key, "label").agg(F.count(F.lit(1)).alias("c"), F.first("blocks").alias("blocks")).groupBy(key).agg(
+        F.max_by("label", F.struct("c", "label")).alias("top"), F.max("c").alias("most"), F.sum("c").alias("total"), F.first("blocks").alias("all"))
+    part = lambda c: F.greatest(F.lit(1), F.ceil(F.col("all") * c / F.col("total"))).cast("int")
+    sizes = sizes.where("most < total").select(key, "top", part(F.col("total") - F.col("most")).alias("rb"), part(F.col("most")).alias("mb"))
+    left = left.join(sizes, key).withColumn("r", F.pmod(F.xxhash64("rep"), F.col("rb")).cast("int")).withColumn("m", F.pmod(F.xxhash64("rep"), F.col("mb")).cast("int"))
+    to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    inside, rest = left.where("label = top"), left.where("label <> top")
+    both = inside.withColumn("side", F.lit(2)).withColumn("r", to("rb")).unionByName(rest.withColumn("side", F.lit(1)).withColumn("m", to("mb")))
+    # blocks of the rest among themselves: r <= m
+    pairs = rest.withColumn("o", to("rb")).withColumn("side", F.when(F.col("o") == F.col("r"), 0).when(F.col("r") < F.col("o"), 1).otherwise(2))
+    pairs = pairs.withColumn("m", -1 - F.greatest("r", "o")).withColumn("r", F.least("r", "o")).drop("o")
+    return first.unionByName(both.unionByName(pairs).groupBy(key, "r", "m").applyInArrow(check, PAIR))
 
 
 def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, size: int = 5, id_col="doc_id", text_col="text") -> DataFrame:
@@ -203,13 +220,11 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, size: int =
     sk = store(scan(base, ["doc_id", "text"], _sketch_rows(size, K), SKETCH))
     classes = store(sk.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(
         F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")))
-    pairs = _candidates(classes, num, den)
-    hoods = connected_components(pairs, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("hood"))
+    hoods = connected_components(_candidates(classes, num, den), "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("hood"))
     hoods = store(hoods.join(classes.select("rep", "n"), "rep"))
     room = hoods.groupBy("hood").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / SHINGLES)).alias("blocks"))
     texts = base.withColumnRenamed("doc_id", "rep").join(hoods.join(room, "hood").select("rep", "hood", "blocks"), "rep").dropDuplicates(["rep"])
-    links = in_blocks(texts, "hood", F.col("blocks")).groupBy("hood", "x", "y").applyInArrow(_exact(size, num, den), PAIR)
-    comps = connected_components(links, "a", "b")
+    comps = connected_components(linked(texts, "hood", _by_shingles(size, num, den)), "a", "b")
     labelled = classes.select("n", "f1", "f2", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select(
         "n", "f1", "f2", F.coalesce("component", "rep").alias("component_id"))
     out = sk.select("doc_id", "n", "f1", "f2").join(labelled, ["n", "f1", "f2"], "left")
@@ -218,15 +233,26 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, size: int =
                       F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
 
 
+def least_overlap(k: int, share: float, miss: float = 1e-9) -> int:
+    """Values that sketches of ``k`` share at least, but for a chance of ``miss``, at similarity ``share``."""
+    below = 0.0
+    for m in range(k + 1):
+        below += math.comb(k, m) * share**m * (1 - share) ** (k - m)
+        if below > miss:
+            return m
+    return k
+
+
 def _candidates(classes: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs ``a, b`` of representatives whose components hold every link."""
+    overlap = least_overlap(K, num / den)
     each = classes.select("rep", F.explode("sketch").alias("v"))
     often = each.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     mine = Window.partitionBy("rep")
     ranked = each.join(often, "v").withColumn("place", F.row_number().over(mine.orderBy("df", "v"))).withColumn("shared", F.count(F.lit(1)).over(mine))
     ranked = ranked.join(classes.select("rep", "n", F.size("sketch").alias("len")), "rep")
     # sets smaller than a sketch are held whole
-    need = F.when(F.col("len") < K, F.ceil(F.col("len") * num / den)).otherwise(F.lit(OVERLAP))
+    need = F.least(F.ceil(F.col("len") * num / den), F.lit(overlap))
     rare = F.col("place") <= F.col("len") - need + 1 - (F.col("len") - F.col("shared"))
     lists = store(ranked.where(rare).select("rep", "v", "n"))
     sizes = lists.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -235,21 +261,19 @@ def _candidates(classes: DataFrame, num: int, den: int) -> DataFrame:
     few = lists.where(F.col("c") <= SHORT).select("v", "rep", "n")
     short = few.select("v", F.col("rep").alias("a"), "n").join(few.select("v", F.col("rep").alias("b"), F.col("n").alias("m")), "v").where(
         close & (F.col("a") < F.col("b"))).select("a", "b").distinct()
-    short = _likely(short, classes)
-    long = lists.where(F.col("c") > SHORT).join(classes.select("rep", "sketch"), "rep")
-    long = in_blocks(long, "v", F.ceil(F.col("c") / BLOCK)).select("v", "x", "y", "rep", "n", "sketch", "side").groupBy(
-        "v", "x", "y").applyInArrow(_overlapping(K, OVERLAP / K, num, den), PAIR)
-    return short.unionByName(long).distinct()
+    short = _likely(short, classes, overlap)
+    long = lists.where(F.col("c") > SHORT).join(classes.select("rep", "sketch"), "rep").select("v", "rep", "n", "sketch", F.ceil(F.col("c") / BLOCK).alias("blocks"))
+    return short.unionByName(linked(long, "v", _by_sketch(K, overlap / K, num, den))).distinct()
 
 
-def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs whose union-sketch estimate reaches OVERLAP / K."""
+def _likely(pairs: DataFrame, classes: DataFrame, overlap: int) -> DataFrame:
+    """Pairs whose union-sketch estimate reaches ``overlap / K``."""
     c = classes.select("rep", "sketch")
     both = pairs.join(c.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a").join(
         c.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
     e = F.size(F.array_intersect(union, F.array_intersect("sa", "sb"))) / F.size(union)
-    return both.where(e >= OVERLAP / K).select("a", "b")
+    return both.where(e >= overlap / K).select("a", "b")
 
 
 def keep_one(docs: DataFrame, num: int = 85, den: int = 100, size: int = 5, id_col="doc_id", text_col="text") -> DataFrame:
