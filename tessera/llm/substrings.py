@@ -11,9 +11,10 @@ one sorts only offsets that can matter, with buckets named by content:
 3. Refinement to later (and earlier) offsets: the bucket of an anchor's whole
    surroundings.  Where two anchors share it, every string around them
    repeats, and they are done too.
-4. What is left, the edges of repeats, is refined to single strings: members
-   of a bucket get the bucket identifiers (rolling hashes) of each of the
-   ``WINDOW`` strings around their anchor, and equal ones repeat.  One member
+4. What is left, the edges of repeats, is refined in two steps.  The starts
+   around an anchor go in parts of ``PART``; members whose part has the same
+   core (what all its strings have in common) stay, and only their strings get
+   bucket identifiers (rolling hashes), of which equal ones repeat.  One member
    stands for each group that was done in step 3.
 
 Identifiers combine the hashes of the parts at later offsets, so no bucket is
@@ -180,13 +181,40 @@ def _around_rows(length: int):
     return start
 
 
-def _strings(around: bytes, left: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distances from the anchor back to the starts of strings, and their identifiers."""
-    n = len(around) - length + 1
-    if n <= 0:
+#: Starts around an anchor go in parts of so many; the strings of a part have its core in common.
+PART = 20
+#: Members of a bucket that go without the step of cores.
+FEW = 48
+
+
+def _starts(size: int, left: int, length: int) -> tuple[int, int]:
+    """Least and greatest distance from the anchor back to the start of a string inside ``around``."""
+    return max(0, left + length - size), left
+
+
+def _cores(h: Hashes, size: int, left: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Parts that hold a start, and the identifiers of their cores."""
+    lo, hi = _starts(size, left, length)
+    if lo > hi:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    a = np.arange(min(n, left + 1))
-    return left - a, Hashes(around).of(a, a + length)
+    parts = np.arange(lo // PART, hi // PART + 1)
+    a = left - parts * PART  # the core: what the strings of every start in the part have in common
+    return parts, _mix(h.of(a, a + length - PART + 1) + parts.astype(np.uint64) * C1)
+
+
+def _strings(h: Hashes, size: int, left: int, length: int, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distances of the starts in some parts, and identifiers of their strings, places mixed in."""
+    lo, hi = _starts(size, left, length)
+    back = (parts[:, None] * PART + np.arange(PART)).ravel()
+    back = back[(back >= lo) & (back <= hi)]
+    a = left - back
+    return back, _mix(h.of(a, a + length) + back.astype(np.uint64) * C1)
+
+
+def _again(ids: np.ndarray) -> np.ndarray:
+    """Which of the identifiers occur more than once."""
+    _, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    return counts[inverse] > 1
 
 
 def _runs(rid, pos, back: np.ndarray, length: int):
@@ -199,28 +227,33 @@ def _runs(rid, pos, back: np.ndarray, length: int):
 
 
 def _refine(length: int):
-    """A bucket's members -> spans of those that are open."""
+    """A bucket's members -> spans of those that are open: cores first, then the strings of repeated cores."""
 
     def run(t: pa.Table) -> pa.Table:
         rows = t.select(["rid", "pos", "left", "around", "open"]).to_pylist()
-        parts = [_strings(r["around"], r["left"], length) for r in rows]
-        back = np.concatenate([p[0] for p in parts])
-        ids = np.concatenate([p[1] for p in parts])
-        key = _mix(ids + back.astype(np.uint64) * C1)
-        _, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
-        twice = counts[inverse] > 1
-        out, at = [], 0
-        for r, (d, _) in zip(rows, parts):
+        sizes = [len(r["around"]) for r in rows]
+        if len(rows) > FEW:
+            cores = [_cores(Hashes(r["around"]), n, r["left"], length) for n, r in zip(sizes, rows)]
+            twice = _again(np.concatenate([c[1] for c in cores]))
+            ends = np.cumsum([0, *[len(c[0]) for c in cores]])
+            parts = [c[0][twice[i:j]] for c, i, j in zip(cores, ends, ends[1:])]
+        else:
+            spans = [_starts(n, r["left"], length) for n, r in zip(sizes, rows)]
+            parts = [np.arange(lo // PART, hi // PART + 1) if lo <= hi else np.zeros(0, np.int64) for lo, hi in spans]
+        none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        strings = [_strings(Hashes(r["around"]), n, r["left"], length, c) if len(c) else none for n, r, c in zip(sizes, rows, parts)]
+        twice, at, out = _again(np.concatenate([x[1] for x in strings])), 0, []
+        for r, (back, _) in zip(rows, strings):
             if r["open"]:
-                out += _runs(r["rid"], r["pos"], d[twice[at: at + len(d)]], length)
-            at += len(d)
+                out += _runs(r["rid"], r["pos"], back[twice[at: at + len(back)]], length)
+            at += len(back)
         return pa.table({n: pa.array([o[i] for o in out], type=ty) for i, (n, ty) in enumerate(
             (("rid", pa.int64()), ("a", pa.int32()), ("b", pa.int32())))})
 
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, most: int = 8192, text_col="text") -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 400, most: int = 2048, text_col="text") -> DataFrame:
     """``rid, a, b``: spans of repeated bytes; b = -1 marks an anchor at a that is wholly repeated.
 
     ``docs`` carries ``rid``, a long that equal rows share.
@@ -244,23 +277,47 @@ def repeated_spans(docs: DataFrame, length: int = 400, most: int = 8192, text_co
     around = store(scan(texts.join(wanted, "rid"), ["text", "members"], _around_rows(length), AROUND).join(
         left.where(F.col("different") > most).select(F.col("m.k").alias("k")).distinct().withColumn("large", F.lit(True)), "k", "left"))
     small = around.where("large is null").drop("large").groupBy("k").applyInArrow(_refine(length), SPAN)
-    each = scan(around.where("large"), ["k", "rid", "pos", "left", "around", "open"], _each_string(length), EACH)
+    each = _large(around.where("large"), length)
     twice = each.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("id")
-    large = each.where("a >= 0").join(twice, "id", "left_semi").select("rid", "a", (F.col("a") + length).alias("b"))
+    large = each.where("at >= 0").join(twice, "id", "left_semi").select("rid", F.col("at").alias("a"), (F.col("at") + length).alias("b"))
     return local.unionByName(done).unionByName(small).unionByName(large)
 
 
-#: One string of a large bucket: its identifier, with the bucket's and its place's mixed in; its start, or -1 if only counted.
-EACH = StructType([StructField("id", LongType()), StructField("rid", LongType()), StructField("a", IntegerType())])
+#: A core or string of a large bucket: its identifier, with the bucket's mixed in; the anchor's place; a core's part, or
+#: a string's start (-1 if it only counts).
+EACH = StructType([StructField("id", LongType()), StructField("rid", LongType()), StructField("pos", IntegerType()), StructField("at", IntegerType())])
+
+
+def _large(around: DataFrame, length: int) -> DataFrame:
+    """Strings of repeated cores of the buckets that are not gathered, refined by distributed counts."""
+    cores = store(scan(around, ["k", "rid", "pos", "left", "around"], _each_core(length), EACH))
+    twice = cores.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("id")
+    alive = cores.join(twice, "id", "left_semi").groupBy("rid", "pos").agg(F.collect_list("at").alias("parts"))  # at most the parts of one anchor
+    return store(scan(around.join(alive, ["rid", "pos"]), ["k", "rid", "pos", "left", "around", "open", "parts"], _each_string(length), EACH))
+
+
+def _in_bucket(ids: np.ndarray, k: int) -> list[int]:
+    return _mix(ids + np.uint64(k & (1 << 64) - 1)).view(np.int64).tolist()
+
+
+def _each_core(length: int):
+    def start():
+        def one(k, rid, pos, left, around):
+            parts, ids = _cores(Hashes(around), len(around), left, length)
+            for c, h in zip(parts.tolist(), _in_bucket(ids, k)):
+                yield h, rid, pos, c
+
+        return one
+
+    return start
 
 
 def _each_string(length: int):
     def start():
-        def one(k, rid, pos, left, around, is_open):
-            back, ids = _strings(around, left, length)
-            key = _mix(_mix(ids + back.astype(np.uint64) * C1) + np.uint64(k & (1 << 64) - 1))
-            for d, h in zip(back.tolist(), key.view(np.int64).tolist()):
-                yield (h, rid, pos - d) if is_open else (h, None, -1)
+        def one(k, rid, pos, left, around, is_open, parts):
+            back, ids = _strings(Hashes(around), len(around), left, length, np.array(sorted(parts), np.int64))
+            for d, h in zip(back.tolist(), _in_bucket(ids, k)):
+                yield h, rid, pos, pos - d if is_open else -1
 
         return one
 
@@ -290,7 +347,7 @@ def _cut_rows(length: int, with_text: bool):
     return start
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, most: int = 8192, id_col="doc_id", text_col="text", with_text=True) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, most: int = 2048, id_col="doc_id", text_col="text", with_text=True) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` of every row.
 
     ``kept`` is the remaining text (bytes of characters cut in half dropped),
