@@ -506,7 +506,14 @@ class Database:
             e = _rename(q["filter"], names)
             b = inner.where(inner.expr(e)).df.toDF(*[f"b_{c}" for c in cols])
         if isinstance(q["query"], (Lit, Call)) and not variables(q["query"]):
-            found, extra = self._one(kind, o, q, b, cols, keys, literal(constant(q["query"])), constant(q["query"]), None)
+            try:
+                value = constant(q["query"])
+                asked = literal(value)
+            except Refusal:  # a call such as vec([...]), the same for all rows
+                value, asked = None, Frame(self.spark).expr(q["query"])
+            if kind == "fts" and not isinstance(value, str):
+                raise UnsafeRule("a full-text query must be a constant text")
+            found, extra = self._one(kind, o, q, b, cols, keys, asked, value, None)
         else:
             if kind == "fts":
                 raise UnsafeRule("a full-text query must be a constant")
