@@ -33,6 +33,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tessera.operators.lineage import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Sources of which the multipliers are broadcast, some MB; more are joined.
+MOST_SOURCES = 50_000
 
 
 def word_count(text: Column) -> Column:
@@ -121,17 +123,19 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: int = 2, t
     ``nth`` numbers equal ids, so that ``(doc_id, nth)`` names a row when rows
     of an id are numbered by ``row_names``.
     """
-    named = row_names(docs, id_col, text_col)
-    rows = cut(named.select(
-        F.col(id_col).cast("long").alias("doc_id"), "nth", F.col(source_col).cast("string").alias("source"),
-        word_count(F.col(text_col)).alias("size")))
+    # the text is reduced to its size and a hash before rows are numbered: it is never shuffled
+    small = docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), _row_hash(docs).alias("_h"))
+    named = small.withColumn("nth", F.row_number().over(Window.partitionBy("_id").orderBy("_h")))
+    rows = cut(named.select(F.col("_id").cast("long").alias("doc_id"), "nth", "source", "size"))
     bins = rows.where("size > 0").groupBy("source", size_bin(F.col("size")).alias("bin")).agg(
         F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs"))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
     goal = targets(sizes.select("source", "source_size"), weights, share, most)
     t = cut(multipliers(bins, goal, tilt, most))
     t = t.join(sizes.select(F.col("source").alias("s"), "docs"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    t = t.select(F.col("source").alias("s"), "source_size", "target", "mean", "t", F.ceil(F.col("docs") / block).alias("blocks"))
+    t = cut(t.select(F.col("source").alias("s"), "source_size", "target", "mean", "t", F.ceil(F.col("docs") / block).alias("blocks")))
+    # a row per source: few, so that a hot source is not gathered by the join; beyond, Spark splits skewed joins itself
+    t = F.broadcast(t) if t.count() <= MOST_SOURCES else t
     z = covariate(size_bin(F.greatest("size", F.lit(1))), F.col("mean"), tilt)
     rate = F.when(F.col("size") > 0, rate_of(F.col("t"), z, most)).otherwise(F.lit(1.0))
     each = rows.join(t, F.col("source").eqNullSafe(F.col("s"))).select(
@@ -160,8 +164,11 @@ def row_names(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
 
     Equal rows of one id may swap numbers, which changes nothing.
     """
-    order = Window.partitionBy(F.col(id_col)).orderBy(F.xxhash64(*[F.col(c) for c in docs.columns]))
-    return docs.withColumn("nth", F.row_number().over(order))
+    return docs.withColumn("nth", F.row_number().over(Window.partitionBy(F.col(id_col)).orderBy(_row_hash(docs))))
+
+
+def _row_hash(docs: DataFrame) -> Column:
+    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mixed(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", **options) -> DataFrame:
