@@ -325,7 +325,9 @@ class Engine:
         inputs = []
         for i in r.inputs:
             if isinstance(i, RuleAtom):
-                inputs.append(env[i.name] if i.name in env else self.extra[i.name])
+                rel = env[i.name] if i.name in env else self.extra[i.name]
+                named = len(i.args) == len(rel.columns) and all(isinstance(x, Var) for x in i.args)
+                inputs.append(rel.toDF(*[x.name for x in i.args]) if named else rel)  # names that conditions can use
             else:
                 args = [v for _, v in i.args] if i.named else list(i.args)
                 rel = self._stored(i)
