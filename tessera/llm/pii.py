@@ -8,6 +8,13 @@ digits keep their places between the same separators, cards keep a valid check
 digit, phones their country code, addresses stay addresses, dates stay dates.
 An e-mail address becomes a keyed number at a reserved domain.  The mapping is
 a keyed bijection per format, so equal values stay equal in all documents.
+Dates with slashes are read day first and, where that is no date, month first.
+
+Digit groups joined by single spaces or hyphens are taken as one run, and cards
+are looked for at all its group boundaries: the usual layouts first (unbroken,
+fours, 4-6-5 and 4-6-4), then others of groups of three digits or more, then
+whole windows of 19 digits; the longest card of a start wins.  Phone numbers
+within a run are found too; values of the other kinds end it.
 
 Texts without a digit or an at sign pass untouched after one cheap test.
 
@@ -25,9 +32,11 @@ EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-
 IP = rf"(?<![\w.])(?:{OCTET}\.){{3}}{OCTET}(?!\.?\w)"
 DATE = r"(?<![\w/-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})(?![\w/-])"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
-CARD = r"(?<![\w.])\d(?:[ -]?\d){12,18}(?![\w])"
 PHONE = r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])|(?<![\w.])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?![\w-])"
+#: A run of digit groups; possessive, so that long ones do not recurse.
+CARD = rf"(?<![\w.])(?=\d(?:[ -]?\d){{12}})\d++(?!\w)(?:[ -](?!{EMAIL}|{IP}|{DATE}|{SSN})\d++(?!\w))*+"
 ANY = "|".join((EMAIL, IP, DATE, SSN, PHONE, CARD))
+LAYOUT = r"^(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?:\1\d{1,3})?|\d{4}([ -])\d{6}\2\d{4,5})$"
 KINDS = ("email", "ip", "date", "ssn", "card", "phone")
 ROUNDS = 8
 #: Days from 1800-01-01 over 400 years, a whole calendar cycle: 27 * 5411.
@@ -92,14 +101,12 @@ def _digits(v: Column) -> Column:
 
 
 def _day(v: Column) -> Column:
-    iso = F.try_to_timestamp(v, F.lit("yyyy-MM-dd"))
-    return F.coalesce(iso, F.try_to_timestamp(v, F.lit("dd/MM/yyyy"))).cast("date")
+    return F.coalesce(*[F.try_to_timestamp(v, F.lit(f)) for f in ("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy")]).cast("date")
 
 
 def kind_of(v: Column) -> Column:
     """Kind of a found value, or null where validation fails."""
-    day = F.when(F.try_to_timestamp(v, F.lit("yyyy-MM-dd")).isNotNull() | F.try_to_timestamp(v, F.lit("dd/MM/yyyy")).isNotNull(), _day(v))
-    in_cycle = day.between(F.lit(FIRST_DAY).cast("date"), F.lit("2199-12-31").cast("date"))
+    in_cycle = _day(v).between(F.lit(FIRST_DAY).cast("date"), F.lit("2199-12-31").cast("date"))
     return (
         F.when(F.contains(v, F.lit("@")), "email")
         .when(v.rlike(rf"^(?:{OCTET}\.){{3}}{OCTET}$"), "ip")
@@ -121,9 +128,16 @@ def pseudonym(key: str, v: Column, kind: Column) -> Column:
               lambda x: F.concat_ws(".", F.floor(x["a"] / 256).cast("string"), (x["a"] % 256).cast("string"),
                                     F.floor(x["b"] / 256).cast("string"), (x["b"] % 256).cast("string")))
     days = F.datediff(_day(v), F.lit(FIRST_DAY).cast("date")).cast("long")
-    moved = _let(feistel(key, tag("date"), F.floor(days / CYCLE[1]), days % CYCLE[1], F.lit(CYCLE[0]), F.lit(CYCLE[1])),
-                 lambda x: F.date_add(F.lit(FIRST_DAY).cast("date"), (x["a"] * CYCLE[1] + x["b"]).cast("int")))
-    date = F.when(v.rlike("^[0-9]{4}-"), F.date_format(moved, "yyyy-MM-dd")).otherwise(F.date_format(moved, "dd/MM/yyyy"))
+    def move(salt, n):
+        return _let(feistel(key, tag(salt), F.floor(n / CYCLE[1]), n % CYCLE[1], F.lit(CYCLE[0]), F.lit(CYCLE[1])), lambda x: x["a"] * CYCLE[1] + x["b"])
+
+    on = lambda n: F.date_add(F.lit(FIRST_DAY).cast("date"), n.cast("int"))
+    moved = on(move("date", days))
+    # month first is only read where the day is above 12: moved again until it is so, which is one-to-one among such days
+    again = F.aggregate(F.sequence(F.lit(1), F.lit(64)), move("month first", days),
+                        lambda n, _: F.when(F.dayofmonth(on(n)) > 12, n).otherwise(move("month first", n)))
+    date = (F.when(v.rlike("^[0-9]{4}-"), F.date_format(moved, "yyyy-MM-dd"))
+            .when(v.rlike("^[0-9]{2}/(?:1[3-9]|[2-9])"), F.date_format(on(again), "MM/dd/yyyy")).otherwise(F.date_format(moved, "dd/MM/yyyy")))
     d = _digits(v)
     body = permute_digits(key, tag("card"), F.substr(d, F.lit(1), F.length(d) - 1))
     card = put_back(v, _let(body, lambda b: F.concat(b, F.pmod(-luhn_sum(F.concat(b, F.lit("0"))), F.lit(10)).cast("string"))))
@@ -134,6 +148,75 @@ def pseudonym(key: str, v: Column, kind: Column) -> Column:
             .when(kind == "phone", phone).when(kind == "ssn", ssn).otherwise(v))
 
 
+def _part(v: Column, kind: Column) -> Column:
+    return F.struct(v.alias("v"), kind.cast("string").alias("kind"))
+
+
+def _run_parts(v: Column) -> Column:
+    """Parts of a run of digit groups: its cards and phone numbers, and what is between."""
+    def span(g, i, j):
+        return F.array_join(F.slice(g, i, j - i + 1), "")
+
+    def starts(g):
+        """Per group: the longest end within 19 digits, and the values that start there, preferred ones first."""
+        def at(_, i0):
+            i = i0 + 1
+            ends = F.transform(F.sequence(F.least(F.size(g), i + 18), i, F.lit(-1)), lambda j: _let(
+                F.regexp_replace(span(g, i, j), "^[ -]", ""), lambda s: F.struct(j.alias("j"), s.alias("s"), _digits(s).alias("d"))))
+            fits = F.filter(ends, lambda e: F.length(e["d"]).between(13, 19))
+
+            def of(fit):
+                rank = lambda e: F.when(e["s"].rlike(LAYOUT), 0).when(~e["s"].rlike(r"(?<!\d)\d{1,2}(?!\d)"), 1).otherwise(2)
+                cards = F.transform(F.filter(fit, lambda e: luhn_sum(e["d"]) % 10 == 0), lambda e: F.struct(rank(e).alias("rank"), (-e["j"]).alias("j")))
+                phone = F.concat(span(g, i, i + 2), F.coalesce(F.substring(F.get(g, i + 2), 1, 1), F.lit(""))).rlike(r"^[ -]?\d{3}[ -]\d{3}[ -]\d{4} ?$")
+                phones = F.when(phone, F.array(F.struct(F.lit(3).alias("rank"), (-i - 2).alias("j")))).otherwise(F.filter(cards, lambda _: F.lit(False)))
+                return F.struct(F.coalesce(F.get(fit, F.lit(0))["j"], F.lit(0)).alias("full"), F.array_sort(F.concat(cards, phones)).alias("found"))
+
+            return _let(fits, of)
+
+        return F.transform(g, at)
+
+    def pick(s):
+        usual = F.transform(s, lambda x: F.coalesce(F.get(x["found"], F.lit(0))["rank"] == 0, F.lit(False)))
+
+        def step(u):
+            def one(acc, i):
+                x = F.get(s, i - 1)
+                fresh = i > acc["win"]
+                ok = F.filter(x["found"], lambda c: (c["rank"] == 0) | (
+                    ((c["rank"] != 2) | (fresh & (-c["j"] == x["full"]))) & ~F.exists(F.slice(u, i + 1, -c["j"] - i), lambda y: y)))
+                def then(c):
+                    last = F.coalesce(-c["j"], F.lit(0))
+                    return F.struct(F.greatest(acc["next"], last + 1).alias("next"), F.when(fresh, F.greatest(acc["win"], x["full"])).otherwise(acc["win"]).alias("win"),
+                                    F.when(last > 0, F.concat(acc["picks"], F.array(F.struct(i.alias("i"), last.alias("j"), F.when(c["rank"] == 3, "phone").otherwise("card").alias("kind")))))
+                                    .otherwise(acc["picks"]).alias("picks"))
+
+                return F.when(i < acc["next"], acc).otherwise(_let(F.get(ok, F.lit(0)), then))
+
+            start = F.struct(F.lit(1).alias("next"), F.lit(0).alias("win"), F.array().cast("array<struct<i:int,j:int,kind:string>>").alias("picks"))
+            return F.aggregate(F.sequence(F.lit(1), F.size(s)), start, one, lambda a: a["picks"])
+
+        return _let(usual, step)
+
+    def parts(g):
+        def of(picks):
+            each = F.transform(picks, lambda p, k: F.array(
+                _part(F.concat(_let(F.when(k == 0, 0).otherwise(F.get(picks, k - 1)["j"]), lambda e: span(g, e + 1, p["i"] - 1)), F.regexp_extract(F.get(g, p["i"] - 1), "^[ -]?", 0)), F.lit(None)),
+                _part(F.regexp_replace(span(g, p["i"], p["j"]), "^[ -]", ""), p["kind"])))
+            last = F.coalesce(F.get(picks, F.size(picks) - 1)["j"], F.lit(0))
+            return F.concat(F.flatten(each), F.array(_part(_let(last, lambda e: span(g, e + 1, F.size(g))), F.lit(None))))
+
+        return _let(_let(starts(g), pick), of)
+
+    return _let(F.regexp_extract_all(v, F.lit("[ -]?[0-9]+"), F.lit(0)), parts)
+
+
+def parts_of(v: Column) -> Column:
+    """A found value as parts with their kinds, null for what stays."""
+    run = v.rlike("^[0-9][0-9 -]*$") & ~v.rlike(rf"^(?:{DATE}|{SSN}|{PHONE})$")
+    return F.when(run, _run_parts(v)).otherwise(F.array(_part(v, kind_of(v))))
+
+
 def _times(kinds: Column, kind: str) -> Column:
     return F.coalesce(F.size(F.filter(kinds, lambda k: k == F.lit(kind))), F.lit(0)).cast("long")
 
@@ -144,9 +227,10 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", counts: bool
     touched = t.rlike("[0-9@]")
     none = F.array().cast("array<string>")
     x = docs.withColumn("_found", F.when(touched, F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).otherwise(none))
-    x = x.withColumn("_kinds", F.transform("_found", lambda v: kind_of(v)))
+    x = x.withColumn("_found", F.transform("_found", parts_of))
+    x = x.withColumn("_kinds", F.transform(F.flatten("_found"), lambda p: p["kind"]))
     some = F.size("_found") > 0
-    new = F.zip_with("_found", "_kinds", lambda v, k: F.when(k.isNull(), v).otherwise(pseudonym(key, v, k)))
+    new = F.transform("_found", lambda ps: F.array_join(F.transform(ps, lambda p: F.when(p["kind"].isNull(), p["v"]).otherwise(pseudonym(key, p["v"], p["kind"]))), ""))
     gaps = F.split(t, ANY, -1)
     whole = F.array_join(F.zip_with(gaps, new, lambda g, v: F.concat(g, F.coalesce(v, F.lit("")))), "")
     x = x.withColumn(text_col, F.when(some, whole).otherwise(t))

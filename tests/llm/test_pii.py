@@ -70,3 +70,35 @@ def test_very_long_text_with_many_values(frame):
     got = run(frame, [text])[0]
     assert got["n_ssn"] == 1999 and len(got["text"]) == len(text)
     assert len(set(re.findall(r"\d{3}-\d{2}-\d{4}", got["text"]))) == 1999
+
+
+def test_cards_beside_other_numbers(frame):
+    c = "4111 1111 1111 1111"
+    t = [f"card {c} 12 May", "4111111111111111 123", f"no 12 {c}", f"1234 {c} x", f"{c} 415 555 0132", f"{c} 2021-02-28 {c} 123-45-6789", f"{c} 10.1.2.3",
+         f"{c} 5500 0000 0000 0004", "7 41111111 11111111", f"12 {c} 99 3782 822463 10005 7 12th", "12 415 555 0132 77"]
+    got = run(frame, t)
+    card = re.fullmatch(r"card (\d{4} \d{4} \d{4} \d{4}) 12 May", got[0]["text"])[1]
+    assert card != c and luhn(card) % 10 == 0
+    assert got[1]["text"] == card.replace(" ", "") + " 123" and got[2]["text"] == f"no 12 {card}" and got[3]["text"] == f"1234 {card} x"
+    assert got[4]["text"] == f"{card} " + run(frame, ["415 555 0132"])[0]["text"]
+    assert [got[4][f"n_{k}"] for k in pii.KINDS] == [0, 0, 0, 0, 1, 1] and [got[5][f"n_{k}"] for k in pii.KINDS] == [0, 0, 1, 1, 2, 0]
+    assert got[5]["text"].startswith(f"{card} ") and "2021-02-28" not in got[5]["text"] and "123-45-6789" not in got[5]["text"]
+    assert got[6]["n_ip"] == got[6]["n_card"] == 1 and "10.1.2.3" not in got[6]["text"] and got[7]["n_card"] == 2
+    assert got[8]["text"] == "7 " + card.replace(" ", "")[:8] + " " + card.replace(" ", "")[8:]
+    assert re.fullmatch(rf"12 {card} 99 \d{{4}} \d{{6}} \d{{5}} 7 12th", got[9]["text"]) and got[9]["n_card"] == 2 and "822463" not in got[9]["text"]
+    assert got[10]["n_phone"] == 1 and re.fullmatch(r"12 \d{3} \d{3} \d{4} 77", got[10]["text"]) and "0132" not in got[10]["text"]
+
+
+def test_long_runs_of_numbers(frame):
+    text = "7 " * 20000 + "4111 1111 1111 1111" + " 3" * 20000
+    got = run(frame, [text])[0]
+    assert "4111 1111 1111 1111" not in got["text"] and got["n_card"] >= 1 and len(got["text"]) == len(text)
+
+
+def test_dates_with_the_month_first(spark, frame):
+    got = run(frame, ["on 12/31/2024 it", "13/31/2024", "02/30/2024"])
+    assert re.fullmatch(r"on (0\d|1[0-2])/(1[3-9]|[23]\d)/\d{4} it", got[0]["text"]) and "12/31/2024" not in got[0]["text"] and got[0]["n_date"] == 1
+    assert (got[1]["text"], got[2]["text"]) == ("13/31/2024", "02/30/2024")
+    days = spark.range(0, 3000).select(F.date_add(F.lit("2000-01-01").cast("date"), F.col("id").cast("int")).alias("d")).where("day(d) > 12")
+    out = [r[0] for r in days.select(pii.pseudonym("k", F.date_format("d", "MM/dd/yyyy"), F.lit("date"))).collect()]
+    assert len(set(out)) == len(out) and all(int(x[3:5]) > 12 for x in out)
