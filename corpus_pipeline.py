@@ -5,7 +5,8 @@ writes every stage's result beside the checkpoints and reads it back as the
 next one's documents.  All but the last keep the columns of ``documents``.
 
 1. toxicity: documents predicted toxic go.
-2. near_duplicates: of each group of near-copies the one of smallest id stays.
+2. near_duplicates: of each group of near-copies (Jaccard similarity of five-word
+   shingles of 0.80 or more) the one of smallest id stays.
 3. pseudonyms: personal values are replaced within the texts.
 4. mixing: every document occurs as often as its source's target asks for.
 5. packing: the pieces of the training sequences.
@@ -28,7 +29,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.keep_one(docs, num=85, den=100, size=5)
+    return neardup.keep_one(docs, num=80, den=100, size=5)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -276,7 +276,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, overlap: int) -> DataFrame:
     return both.where(e >= overlap / K).select("a", "b")
 
 
-def keep_one(docs: DataFrame, num: int = 85, den: int = 100, size: int = 5, id_col="doc_id", text_col="text") -> DataFrame:
+def keep_one(docs: DataFrame, num: int = 80, den: int = 100, size: int = 5, id_col="doc_id", text_col="text") -> DataFrame:
     """Rows of ``docs`` without near-duplicates of smaller id; of equal rows of that id one stays."""
     kept = near_duplicates(docs, num, den, size, id_col, text_col).where("not kept").select(
         F.col("doc_id").alias("_gone")).distinct()

@@ -63,3 +63,17 @@ def test_an_empty_corpus(spark, tmp_path):
     for t in ("documents", "labels"):
         spark.read.parquet(f"{DATA}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_from_0_80_on_go(spark, stages, frame, words):
+    before, after, *_ = stages["near_duplicates"]
+    want = brute([(r["doc_id"], r["text"]) for r in before], 80, 100)
+    assert sorted(r["doc_id"] for r in after) == sorted(i for i, x in want.items() if x[2])
+    base = words(200, 1).split()
+    rows = [(0, " ".join(base))]
+    for n in range(3, 7):  # 4 changed words: 176 of 216 shingles
+        rows.append((n, " ".join(f"new{n}x{i}" if i in range(20, 20 + 40 * n, 40) else w for i, w in enumerate(base))))
+    want = brute(rows, 80, 100)
+    assert want[4][1] == 0 != brute(rows)[4][1]
+    got = corpus_pipeline.near_duplicates(spark, frame(rows), DATA)
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(i for i, x in want.items() if x[2])
