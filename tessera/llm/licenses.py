@@ -6,6 +6,10 @@
    templates, which are fixed).  The best template at or above ``least`` is the
    document's own licence.  A document of which notices make up at least half
    of the words is a licence file.
+   Documents with a trigger word are also compared as a whole with the full
+   texts of licences, by the same cosine with inverse document frequencies of
+   their own.  One at or above ``least`` that holds at least half of the words
+   of the document and of the licence makes it a licence file of that licence.
 2. Inheritance.  Licence files give their directory a licence (the best score,
    ties to the smaller name).  The directories of documents without an own
    licence are listed once, spread to their ancestors and joined to licensed
@@ -24,6 +28,7 @@ import math
 import re
 from collections import Counter
 from functools import lru_cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
@@ -37,11 +42,16 @@ TEMPLATES = {
             "SPDX-License-Identifier: MIT"],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0", "SPDX-License-Identifier: Apache-2.0",
                    "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License"],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2", "SPDX-License-Identifier: GPL-2.0-only"],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2", "SPDX-License-Identifier: GPL-2.0-only",
+                "redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3", "SPDX-License-Identifier: GPL-3.0-only",
                 "redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"],
-    "LGPL-3.0": ["licensed under the GNU Lesser General Public License, version 3", "SPDX-License-Identifier: LGPL-3.0-only"],
-    "AGPL-3.0": ["licensed under the GNU Affero General Public License, version 3", "SPDX-License-Identifier: AGPL-3.0-only"],
+    "LGPL-2.1": ["licensed under the GNU Lesser General Public License, version 2.1", "SPDX-License-Identifier: LGPL-2.1-only",
+                 "redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License"],
+    "LGPL-3.0": ["licensed under the GNU Lesser General Public License, version 3", "SPDX-License-Identifier: LGPL-3.0-only",
+                 "redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"],
+    "AGPL-3.0": ["licensed under the GNU Affero General Public License, version 3", "SPDX-License-Identifier: AGPL-3.0-only",
+                 "redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Licensed under the Mozilla Public License 2.0"],
     "BSD-2-Clause": ["Licensed under the BSD 2-Clause License", "SPDX-License-Identifier: BSD-2-Clause"],
     "BSD-3-Clause": ["Licensed under the BSD 3-Clause License", "SPDX-License-Identifier: BSD-3-Clause",
@@ -56,8 +66,11 @@ TEMPLATES = {
     "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0"],
     "Proprietary": ["All rights reserved. Redistribution without permission is prohibited", "Confidential and proprietary. All rights reserved"],
 }
+for _name, _kind, _version in (("GPL-2.0", "", "2"), ("GPL-3.0", "", "3"), ("LGPL-2.1", "Lesser ", "2.1"), ("LGPL-3.0", "Lesser ", "3"), ("AGPL-3.0", "Affero ", "3")):
+    TEMPLATES[_name].append(f"This program is free software; you can redistribute it and/or modify it under the terms of the GNU {_kind}General Public License "
+                            f"as published by the Free Software Foundation; either version {_version} of the License, or (at your option) any later version")
 TOKEN = re.compile(r"\d+(?:\.\d+)*|[^\W\d_]+")
-TRIGGER = re.compile(r"licen[sc]e|licencia|lizenz|spdx|hereby granted|redistribution|public domain|rights reserved", re.IGNORECASE)
+TRIGGER = re.compile(r"licen[sc]e|licencia|lizenz|spdx|hereby\W+granted|redistribution|public\W+domain|rights\W+reserved", re.IGNORECASE)
 FOUND = StructType([
     StructField("doc_id", LongType()), StructField("path", StringType()), StructField("own", StringType()),
     StructField("score", DoubleType()), StructField("is_file", BooleanType()),
@@ -69,9 +82,27 @@ def _terms(text: str) -> list[str]:
 
 
 @lru_cache(maxsize=1)
-def _index():
+def full_texts() -> dict[str, str]:
+    """Full licence texts; relatives that differ by few words are made from the text at hand."""
+    texts = {p.name.removesuffix(".txt"): p.read_text() for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+    texts["AGPL-3.0"] = re.sub(r"GNU\s+General", "GNU Affero General", texts["GPL-3.0"], flags=re.IGNORECASE)
+    for name, word in (("CC-BY-4.0", ""), ("CC-BY-NC-4.0", "NonCommercial"), ("CC-BY-NC-SA-4.0", "NonCommercial-ShareAlike"), ("CC-BY-ND-4.0", "NoDerivatives")):
+        texts[name] = re.sub("ShareAlike", word, texts["CC-BY-SA-4.0"], flags=re.IGNORECASE)
+    return texts
+
+
+@lru_cache(maxsize=1)
+def _full_bags() -> list[Counter]:
+    return [Counter(_terms(t)) for _, t in sorted(full_texts().items())]
+
+
+@lru_cache(maxsize=2)
+def _index(full: bool = False):
     """Inverse frequencies and, per term, the templates that hold it with their weights."""
-    bags = [(name, Counter(_terms(t))) for name, ts in sorted(TEMPLATES.items()) for t in ts]
+    if full:
+        bags = list(zip(sorted(full_texts()), _full_bags()))
+    else:
+        bags = [(name, Counter(_terms(t))) for name, ts in sorted(TEMPLATES.items()) for t in ts]
     df = Counter(w for _, b in bags for w in b)
     idf = {w: math.log((1 + len(bags)) / (0.5 + n)) for w, n in df.items()}
     lists: dict[str, list] = {}
@@ -82,9 +113,9 @@ def _index():
     return [name for name, _ in bags], [sum(b.values()) for _, b in bags], idf, lists, math.log((1 + len(bags)) / 0.5)
 
 
-def best_template(terms: list[str]) -> tuple[str | None, float]:
+def best_template(terms: list[str], full: bool = False) -> tuple[str | None, float]:
     """Template nearest to a bag of terms, by cosine; unknown terms count against it."""
-    names, _, idf, lists, rare = _index()
+    names, _, idf, lists, rare = _index(full)
     bag, dots, norm = Counter(terms), {}, 0.0
     for w, n in bag.items():
         x = n * idf.get(w, rare)
@@ -97,6 +128,19 @@ def best_template(terms: list[str]) -> tuple[str | None, float]:
     return names[name], score
 
 
+def whole_text(terms: list[str], least: float) -> tuple[str | None, float, int]:
+    """Licence of which the document is the full text, its score and the words they share."""
+    names, sizes = _index(True)[:2]
+    if 2 * len(terms) < min(sizes):
+        return None, 0.0, 0
+    name, score = best_template(terms, True)
+    if name is None or score < least:
+        return None, 0.0, 0
+    k = names.index(name)
+    both = (Counter(terms) & _full_bags()[k]).total()
+    return (name, score, both) if 2 * both >= max(len(terms), sizes[k]) else (None, 0.0, 0)
+
+
 def scan_text(text: str, least: float) -> tuple[str | None, float, int, int]:
     """Own licence, its score, words in notices, words in all."""
     if not text:
@@ -128,6 +172,9 @@ def scan_text(text: str, least: float) -> tuple[str | None, float, int, int]:
                 covered.update(range(lo, hi))
                 if (score, best or "") > (best_score, "") and (score > best_score or name < best):
                     best, best_score = name, score
+    name, score, both = whole_text(terms, least)
+    if name:
+        return name, score, max(both, len(covered)), len(terms)
     return best, best_score, len(covered), len(terms)
 
 

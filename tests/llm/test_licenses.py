@@ -43,3 +43,28 @@ def test_ties_repeats_and_empty_tables(spark):
     assert got[3]["license"] == best
     df = spark.createDataFrame([(1, "d/x", MIT, "", "")] * 3, FIELDS)
     assert licenses.scan_licenses(df).count() == 3 and licenses.scan_licenses(df.limit(0)).count() == 0
+
+
+BOILERPLATE = """This program is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License
+as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."""
+
+
+@pytest.mark.parametrize("kind, version, want", [("", "2", "GPL-2.0"), ("", "3", "GPL-3.0"), ("Lesser ", "2.1", "LGPL-2.1"), ("Lesser ", "3", "LGPL-3.0"), ("Affero ", "3", "AGPL-3.0")])
+def test_boilerplates_of_the_fsf(kind, version, want):
+    assert licenses.scan_text("int f(void);\n" + BOILERPLATE.format(kind, version) + "\nvoid g(void);", 0.6)[0] == want
+
+
+def test_full_licence_texts_are_licence_files(spark):
+    texts = licenses.full_texts()
+    assert set(licenses.TEMPLATES) - set(texts) == {"Proprietary"}
+    rows = []
+    for k, (name, t) in enumerate(sorted(texts.items())):
+        rows += [(2 * k, f"{name}/LICENSE", f"Some Project\nCopyright (c) 2021 Jane Roe and others\n\n{t}"), (2 * k + 1, f"{name}/src/a.txt", "words only")]
+    got = run(spark, rows)
+    for k, name in enumerate(sorted(texts)):
+        assert (got[2 * k]["own"], got[2 * k]["is_file"], got[2 * k + 1]["license"]) == (name, True, name)
+
+
+def test_a_header_in_a_long_file_is_no_licence_file():
+    name, _, inside, n = licenses.scan_text(licenses.full_texts()["MIT"] + " code words follow here" * 200, 0.6)
+    assert name == "MIT" and 2 * inside < n
