@@ -62,8 +62,10 @@ def tokens(text: Column, tokenizer: str = "Simple", filters: list | None = None,
         elif name == "AsciiFolding":
             out = F.transform(out, lambda x: F.translate(x, *FOLD))
         elif name == "Stopwords":
-            out = F.filter(out, lambda x: ~x.isin(*STOPWORDS))
+            words = args[0] if args and isinstance(args[0], list) else _english("stop words", args) or STOPWORDS
+            out = F.filter(out, lambda x: ~x.isin(*words)) if words else out
         elif name == "Stemmer":
+            _english("stemmer", args)
             out = F.transform(out, _stem)
         elif name == "SplitCompoundWords":
             words = sorted(args[0], key=len, reverse=True)
@@ -73,6 +75,11 @@ def tokens(text: Column, tokenizer: str = "Simple", filters: list | None = None,
     return out
 
 
+def _english(what: str, args: list) -> None:
+    if args and str(args[0]).lower() not in ("en", "english"):
+        raise TypeRefusal(f"no {what} for {args[0]}")
+
+
 def _grams(text: Column, n: int, prefix: bool) -> Column:
     starts = F.array(F.lit(1)) if prefix else F.sequence(F.lit(1), F.length(text) - n + 1)
     return F.when(F.length(text) >= n, F.transform(starts, lambda i: F.substr(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))

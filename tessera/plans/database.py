@@ -501,6 +501,10 @@ class Database:
         cols, keys = r.columns, [F.col(f"`b_{c}`") for c in r.key_names]
         b = base.select(*[F.col(f"`{c}`").alias(f"b_{c}") for c in cols])
         inner = Frame(self.spark, base.toDF(*[mangle(c) for c in cols]), tuple(cols))
+        only = o.get("filter" if kind == "hnsw" else "extract_filter")
+        if only is not None:  # rows the index does not hold
+            inner = Frame(self.spark, inner.df.where(inner.expr(only)), tuple(cols))
+            b = inner.df.toDF(*[f"b_{c}" for c in cols])
         if "filter" in q:
             names = {v.name: c for c, v in a.binds}
             e = _rename(q["filter"], names)
@@ -545,13 +549,24 @@ class Database:
             if k is None:
                 raise TypeRefusal("k is required")
             fields = constant(o["fields"]) if isinstance(o.get("fields"), Call) and all(isinstance(x, Lit) for x in o["fields"].args) else [x.name for x in getattr(o.get("fields"), "args", ())]
-            name = (fields or [c for c in cols if isinstance(b.schema[f"b_{c}"].dataType, T.ArrayType)])[0]
+            fields = fields or [c for c in cols if isinstance(b.schema[f"b_{c}"].dataType, T.ArrayType)][:1]
+            for c in fields:
+                if c not in cols:
+                    raise UnknownName(f"relation has no column {c}")
             dist = o.get("distance", o.get("dist"))
             dist = dist.name if isinstance(dist, Var) else dist.value if dist else "L2"
-            v = F.col(f"`b_{name}`")
             radius = float(constant(q["radius"])) if "radius" in q else None
-            found = search.nearest(b.where(v.isNotNull()), query, v, k, dist, radius, by, keys)
-            return found, {"bind_distance": F.col("_distance"), "bind_vector": v, "bind_field": F.lit(name), "bind_field_idx": F.lit(None).cast("bigint")}
+            found = None  # a candidate per vector: of every field, and of every element where a field is a list of vectors
+            for n, c in enumerate(fields):
+                v, rest = F.col(f"`b_{c}`"), [F.col(f"`{x}`") for x in b.columns]
+                many = isinstance(b.schema[f"b_{c}"].dataType.elementType, T.ArrayType)
+                x = b.select(*rest, F.posexplode(v).alias("_at", "_vector")) if many else b.select(*rest, F.lit(None).cast("bigint").alias("_at"), v.alias("_vector"))
+                x = x.withColumn("_at", F.col("_at").cast("bigint")).withColumn("_field", F.lit(n))
+                found = x if found is None else found.unionByName(x)
+            v = F.col("_vector")
+            found = search.nearest(found.where(v.isNotNull()), query, v, k, dist, radius, by, [*keys, F.col("_field"), F.col("_at")])
+            name = F.element_at(F.array(*[F.lit(c) for c in fields]), F.col("_field") + 1)
+            return found, {"bind_distance": F.col("_distance"), "bind_vector": v, "bind_field": name, "bind_field_idx": F.col("_at")}
         plain = tuple(c.removeprefix("b_") for c in b.columns)
         x = b.toDF(*[mangle(c) for c in plain])
         x = x.withColumn("_text", Frame(self.spark, x, plain).expr(o["extractor"]))
@@ -579,7 +594,11 @@ class Database:
         own = search.band_keys(search.shingles(split(F.col("_text")), g), nb, nr)
         asked = search.band_keys(search.shingles(split(query), g), nb, nr)
         found = x.where(F.arrays_overlap(own, asked)).drop("_text")
-        return (found.orderBy(*keys).limit(k) if k and not by else found), {}
+        if k and by:
+            found = found.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*keys))).where(F.col("_n") <= k).drop("_n")
+        elif k:
+            found = found.orderBy(*keys).limit(k)
+        return found, {}
 
     # -- observation
     def register_callback(self, name: str, f) -> None:
