@@ -1,6 +1,8 @@
 import hashlib
+import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from conftest import DATA
 
@@ -64,3 +66,47 @@ def test_edge_cases(frame, words):
     assert {r["doc_id"]: r["kept"] for r in kept} == {1: "tail", 2: ""}
     with pytest.raises(ValueError):
         substrings.remove_repeats(frame(rows), length=50)
+
+
+def brute_passages(rows, n=51):
+    """Ids of texts with n words, as written, that another text holds too."""
+    at = {}
+    for i, t in set(rows):
+        data = (t or "").encode()
+        w = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+        for a, b in zip(w, w[n - 1:]):
+            at.setdefault(data[a[0]: b[1]], set()).add((i, t))
+    return {i for docs in at.values() if len(docs) > 1 for i, _ in docs}
+
+
+def flagged(df):
+    return {r["doc_id"] for r in df.collect() if r["repeats"]}
+
+
+def test_texts_with_passages_of_other_texts(spark, documents, frame, words):
+    rows = [(r["doc_id"], r["text"]) for r in documents.select("doc_id", "text").collect()]
+    assert flagged(queries.op7_repeated_substrings(spark, DATA)) == brute_passages(rows)
+    p = " ".join(words(60, 40).split()[:51])
+    rows = [(1, words(70, 41) + " " + p + "\n" + words(9, 42)), (2, p), (3, p.rsplit(" ", 1)[0]), (4, p[1:] + " x"), (5, "a " * 50 + "b"), (6, "c " + "a " * 50 + "b a a"),
+            (7, p.replace(" ", "\n")), (8, words(51, 43) + " " + words(51, 43)), (9, words(60, 44)), (9, words(60, 44))]
+    assert flagged(substrings.remove_repeats(frame(rows))) == brute_passages(rows) == {1, 2, 5, 6, 9}
+    common = words(55, 45)
+    rows = [(i, f"{words(12, 500 + i)} {common[i % 7:]} {words(12, 700 + i)}") for i in range(90)] + [(200, words(90, 46))]
+    assert flagged(substrings.remove_repeats(frame(rows))) == brute_passages(rows)
+
+
+def test_a_long_text_is_cut_as_short_ones_are(words):
+    text = np.frombuffer((words(9000, 50) + " " + "z" * 30_000 + " " + words(9000, 50)).encode(), np.uint8)
+    at = np.array([0, len(text)])
+    short = [x for x in substrings._of_chunk(text, at, 400, 51) if x[4][0] == 3]
+    p, k, ctx = (np.sort(x) for x in (short[0][1], short[0][2], short[0][3]))
+    size, block = substrings.SEGMENT, substrings.WORD_BLOCK
+    substrings.SEGMENT, substrings.WORD_BLOCK = 1 << 12, 300
+    try:
+        parts = list(substrings._of_chunk(text, at, 400, 51))
+    finally:
+        substrings.SEGMENT, substrings.WORD_BLOCK = size, block
+    long = [x for x in parts if x[4][0] == 3]
+    assert set(long[0][2].tolist()) == set(k.tolist()) and set(p.tolist()) <= set(long[0][1].tolist())
+    spans = lambda ps: sorted((int(a), int(b)) for x in ps if x[4][0] == 1 for a, b in zip(x[1], x[2]))
+    assert spans(parts) == spans(substrings._of_chunk(text, at, 400, 51))
