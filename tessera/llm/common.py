@@ -49,3 +49,11 @@ def scan(df: DataFrame, cols: list[str], row_fn: Callable[[], Callable[..., Iter
 
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
+
+
+def fresh(name: str, df: DataFrame) -> str:
+    """A column name for inside use that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -8,19 +8,22 @@
    ``overlap`` values but for a chance below 1e-9, so it is enough to list each
    set under its ``K - overlap + 1`` rarest values: two similar sets meet in
    one of those lists, and values of passages that many texts share drop out.
-3. Overlaps.  The few pairs of short lists, and within long lists the edges of
-   a spanning forest (a list never becomes all its pairs), are kept where the
-   union-sketch estimate reaches ``overlap / K``.  Their connected components
-   are neighbourhoods: no link leads out of one.
-4. Exact links.  Each neighbourhood gathers the texts of its sets once, counts
+3. Overlaps.  The few pairs of short lists, and in long lists the pairs with
+   one set of the list (a list never becomes all its pairs), are kept where the
+   union-sketch estimate reaches ``overlap / K``; each sketch travels once per
+   distinct pair, not per list.  Sets of a long list that this leaves apart are
+   estimated against the rest of the list.  The connected components of what is
+   kept are neighbourhoods: no link leads out of one.
+4. Exact links.  Each neighbourhood gathers the texts of its sets once (the ids
+   are broadcast while they are few, so other texts are not moved), counts
    exact intersections over the postings of its shingles, and gives back a
    spanning forest of the pairs that reach the threshold.
 Lists and neighbourhoods of over ``BLOCK`` sets are verified as ``linked`` says.
 
 Defined results: null, empty and blank texts have no shingles and are linked
 with nothing; texts shorter than a shingle are one shingle; repeated rows are
-linked as equal sets; null ids take no part in components (their component is
-null); an empty table gives no rows; other columns are ignored.
+linked as equal sets; all texts of an id that has several count as its own; null
+ids take no part in components (their component is null, and they are kept); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,9 +37,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from tessera.llm.common import scan
+from tessera.llm.common import fresh, scan
 from tessera.operators.components import connected_components
-from tessera.operators.lineage import store
+from tessera.operators.lineage import few, free, store
 
 K, SHORT, BLOCK, PIVOTS, SHINGLES = 64, 16, 2048, 4, 2_000_000
 SKETCH = StructType([
@@ -47,7 +50,7 @@ SKETCH = StructType([
 
 class _Words(dict):
     def __missing__(self, w):
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         h = self[w] = xxhash.xxh64_intdigest(w)
         return h
@@ -194,24 +197,30 @@ def linked(rows: DataFrame, key: str, check) -> DataFrame:
         whole = rows.unionByName(guests)
     else:
         whole = rows
-    first = whole.withColumn("side", F.lit(0)).withColumn("label", F.col("rep")).groupBy(key, "x").applyInArrow(check, PAIR)
-    if not some:
-        return first
-    first = store(first)
-    label = connected_components(first, "a", "b").withColumnRenamed("node", "rep")
-    left = large.drop("x").join(label, "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
+    first = store(whole.withColumn("side", F.lit(0)).withColumn("label", F.col("rep")).groupBy(key, "x").applyInArrow(check, PAIR))
+    return first.unionByName(_left_over(large.drop("x"), key, first, check)) if some else first
+
+
+def _left_over(rows: DataFrame, key: str, edges: DataFrame, check, details: DataFrame | None = None) -> DataFrame:
+    """Edges that join, within a group of ``key``, what ``edges`` leaves outside its largest component.
+
+    ``details`` adds what ``check`` reads by ``rep`` to the rows that are still to be verified.
+    """
+    label = connected_components(edges, "a", "b").withColumnRenamed("node", "rep")
+    left = rows.join(label, "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
     sizes = left.groupBy(key, "label").agg(F.count(F.lit(1)).alias("c"), F.first("blocks").alias("blocks")).groupBy(key).agg(
         F.max_by("label", F.struct("c", "label")).alias("top"), F.max("c").alias("most"), F.sum("c").alias("total"), F.first("blocks").alias("all"))
     part = lambda c: F.greatest(F.lit(1), F.ceil(F.col("all") * c / F.col("total"))).cast("int")
     sizes = sizes.where("most < total").select(key, "top", part(F.col("total") - F.col("most")).alias("rb"), part(F.col("most")).alias("mb"))
     left = left.join(sizes, key).withColumn("r", F.pmod(F.xxhash64("rep"), F.col("rb")).cast("int")).withColumn("m", F.pmod(F.xxhash64("rep"), F.col("mb")).cast("int"))
+    left = left.join(details, "rep") if details is not None else left
     to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     inside, rest = left.where("label = top"), left.where("label <> top")
     both = inside.withColumn("side", F.lit(2)).withColumn("r", to("rb")).unionByName(rest.withColumn("side", F.lit(1)).withColumn("m", to("mb")))
     # blocks of the rest among themselves: r <= m
     pairs = rest.withColumn("o", to("rb")).withColumn("side", F.when(F.col("o") == F.col("r"), 0).when(F.col("r") < F.col("o"), 1).otherwise(2))
     pairs = pairs.withColumn("m", -1 - F.greatest("r", "o")).withColumn("r", F.least("r", "o")).drop("o")
-    return first.unionByName(both.unionByName(pairs).groupBy(key, "r", "m").applyInArrow(check, PAIR))
+    return both.unionByName(pairs).groupBy(key, "r", "m").applyInArrow(check, PAIR)
 
 
 def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, size: int = 5, id_col="doc_id", text_col="text") -> DataFrame:
@@ -221,12 +230,17 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, size: int =
     classes = store(sk.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(
         F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")))
     hoods = connected_components(_candidates(classes, num, den), "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("hood"))
-    hoods = store(hoods.join(classes.select("rep", "n"), "rep"))
+    hoods = store(hoods.join(classes.groupBy("rep").agg(F.max("n").alias("n")), "rep"))
     room = hoods.groupBy("hood").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / SHINGLES)).alias("blocks"))
-    texts = base.withColumnRenamed("doc_id", "rep").join(hoods.join(room, "hood").select("rep", "hood", "blocks"), "rep").dropDuplicates(["rep"])
-    comps = connected_components(linked(texts, "hood", _by_shingles(size, num, den)), "a", "b")
+    members = store(hoods.join(room, "hood").select("rep", "hood", "blocks"))
+    n = members.count()
+    texts = base.withColumnRenamed("doc_id", "rep").join(few(members, n), "rep")
+    if sk.select(F.col("doc_id").alias("rep")).join(few(members, n), "rep").count() > n:  # an id with several rows: all its texts count
+        texts = texts.dropDuplicates(["rep", "text"])
+    comps = store(connected_components(linked(texts, "hood", _by_shingles(size, num, den)), "a", "b"))
     labelled = classes.select("n", "f1", "f2", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select(
         "n", "f1", "f2", F.coalesce("component", "rep").alias("component_id"))
+    free(hoods, members)
     out = sk.select("doc_id", "n", "f1", "f2").join(labelled, ["n", "f1", "f2"], "left")
     comp = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"),
@@ -258,12 +272,19 @@ def _candidates(classes: DataFrame, num: int, den: int) -> DataFrame:
     sizes = lists.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     lists = lists.join(sizes, "v")
     close = den * F.least("n", "m") >= num * F.greatest("n", "m")
-    few = lists.where(F.col("c") <= SHORT).select("v", "rep", "n")
-    short = few.select("v", F.col("rep").alias("a"), "n").join(few.select("v", F.col("rep").alias("b"), F.col("n").alias("m")), "v").where(
+    brief = lists.where(F.col("c") <= SHORT).select("v", "rep", "n")
+    short = brief.select("v", F.col("rep").alias("a"), "n").join(brief.select("v", F.col("rep").alias("b"), F.col("n").alias("m")), "v").where(
         close & (F.col("a") < F.col("b"))).select("a", "b").distinct()
-    short = _likely(short, classes, overlap)
-    long = lists.where(F.col("c") > SHORT).join(classes.select("rep", "sketch"), "rep").select("v", "rep", "n", "sketch", F.ceil(F.col("c") / BLOCK).alias("blocks"))
-    return short.unionByName(linked(long, "v", _by_sketch(K, overlap / K, num, den))).distinct()
+    # a long list gives the pairs with one of its sets: the same set in most lists of a group of near copies, so few pairs are distinct
+    long = lists.where(F.col("c") > SHORT)
+    pivots = long.groupBy("v").agg(F.min(F.struct(F.xxhash64("rep"), "rep", F.col("n").alias("m"))).alias("p")).select("v", F.col("p.rep").alias("b"), F.col("p.m").alias("m"))
+    spokes = long.join(pivots, "v").where(close & (F.col("rep") != F.col("b"))).select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
+    near = store(_likely(short.unionByName(spokes).distinct(), classes, overlap))
+    # what a pivot does not join to its list is verified against the rest of the list
+    rows = long.select("v", "rep", "n", F.ceil(F.col("c") / BLOCK).alias("blocks"))
+    if not rows.isEmpty():
+        near = near.unionByName(store(_left_over(rows, "v", near, _by_sketch(K, overlap / K, num, den), classes.select("rep", "sketch"))))
+    return near.distinct()
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, overlap: int) -> DataFrame:
@@ -277,9 +298,18 @@ def _likely(pairs: DataFrame, classes: DataFrame, overlap: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, num: int = 80, den: int = 100, size: int = 5, id_col="doc_id", text_col="text") -> DataFrame:
-    """Rows of ``docs`` without near-duplicates of smaller id; of equal rows of that id one stays."""
-    kept = near_duplicates(docs, num, den, size, id_col, text_col).where("not kept").select(
-        F.col("doc_id").alias("_gone")).distinct()
-    cols = docs.columns
-    rest = docs.join(kept, docs[id_col].cast("long") == kept["_gone"], "left_anti")
-    return rest.dropDuplicates([id_col, text_col]).select(*cols) if id_col in cols else rest
+    """Rows of ``docs`` without near-duplicates of smaller id; of rows with one id and equal texts one stays.
+
+    Rows with a null id all stay.  No text is shuffled while the ids that go, or
+    that occur several times, are few enough to broadcast.
+    """
+    gone_id = fresh("id", docs)
+    gone = store(near_duplicates(docs, num, den, size, id_col, text_col).where("not kept").select(F.col("doc_id").alias(gone_id)).distinct())
+    rest = docs.join(few(gone, gone.count()), docs[id_col].cast("long") == gone[gone_id], "left_anti")
+    several = store(docs.where(docs[id_col].isNotNull()).groupBy(docs[id_col].cast("long").alias(gone_id)).count().where("count > 1").select(gone_id))
+    n = several.count()
+    if not n:
+        return rest
+    on, cols = rest[id_col].cast("long") == several[gone_id], docs.columns
+    once = rest.join(few(several, n), on, "left_anti")
+    return once.unionByName(rest.join(few(several, n), on, "left_semi").dropDuplicates([id_col, text_col]).select(*cols))
