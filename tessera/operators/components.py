@@ -73,18 +73,20 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(low.select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", stored: bool = False) -> DataFrame:
     """``(node, component)`` for every end of an edge between ids that order.
 
     ``component`` is the smallest id reachable, the node itself included.
     Edges with a null end are ignored; a node whose only edge is a self-loop
-    forms its own component; no edges give no rows.
+    forms its own component; no edges give no rows.  ``stored`` edges are cheap
+    to read twice and are not written again.
     """
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where(
         "a is not null and b is not null"
     )
     loops = e.where("a = b").select(F.col("a").alias("node"))
-    e = cut(e.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    e = e.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    e = e if stored else cut(e.distinct())
     parts = -(-e.count() // LOCAL)
     if parts:
         e = cut(_contract(e.coalesce(parts)))

@@ -49,14 +49,21 @@ def cut(df: DataFrame) -> DataFrame:
         return df.checkpoint(eager=True)
 
 
-def store(df: DataFrame) -> DataFrame:
+#: Rows of a few numbers in one file, some MB.
+ROWS_A_FILE = 200_000
+
+
+def store(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet beside the checkpoints and read it back.
 
     Smaller than a checkpoint for wide or long intermediate tables, and
     columns are pruned on reading.  The files go by ``free`` or when the
-    session's interpreter exits.
+    session's interpreter exits.  Where ``rows``, about how many narrow rows
+    there may be, is known, they go to as few files as they need; each file
+    costs a remote call or more, and shuffles leave many partitions.
     """
     spark = df.sparkSession
+    df = df if rows is None else df.repartition(max(1, -(-rows // ROWS_A_FILE)))
     place = f"{_folder(spark)}/tables/{uuid.uuid4().hex}"
     with _shuffles_freed(spark):
         df.write.parquet(place)
