@@ -5,9 +5,11 @@ digits that pass the Luhn check), phone numbers, US social security numbers,
 and calendar dates.  Numbers and dates are validated first and then permuted
 within their format by an eight-round Feistel network keyed with SHA-256:
 digits keep their places between the same separators, cards keep a valid check
-digit, phones their country code, addresses stay addresses, dates stay dates.
-An e-mail address becomes a keyed number at a reserved domain.  The mapping is
-a keyed bijection per format, so equal values stay equal in all documents.
+digit, phones their country code, security numbers stay valid ones, addresses
+stay addresses, dates stay dates.  The mapping is a keyed bijection per format,
+so equal values stay equal in all documents and different ones different.  The
+names of e-mail addresses have no fixed format: an address becomes a keyed
+number of 12 digits at a reserved domain, by its lower-case form.
 Dates with slashes are read day first and, where that is no date, month first.
 
 Digit groups joined by single spaces or hyphens are taken as one run, and cards
@@ -27,8 +29,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tessera.llm.common import fresh
+
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+#: Possessive and only from the start of a run, so that a long run without an address is read once.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[._%+-]*+[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){0,99}\.[A-Za-z]{2,}"
 IP = rf"(?<![\w.])(?:{OCTET}\.){{3}}{OCTET}(?!\.?\w)"
 DATE = r"(?<![\w/-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})(?![\w/-])"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
@@ -120,8 +125,9 @@ def kind_of(v: Column) -> Column:
 def pseudonym(key: str, v: Column, kind: Column) -> Column:
     """The pseudonym of a value of a known kind."""
     tag = lambda t: F.lit(t)
-    number = lambda salt, m: F.pmod(_round(key, F.lit(salt), F.lit(0), F.lower(v) if salt == "local" else F.lower(F.substring_index(v, "@", -1))), F.lit(m))
-    email = F.concat(F.lit("user"), F.lpad(number("local", 10**12).cast("string"), 12, "0"), F.lit("@d"),
+    address = F.lower(F.regexp_replace(v, "^[._%+-]+", ""))
+    number = lambda salt, m: F.pmod(_round(key, F.lit(salt), F.lit(0), address if salt == "local" else F.substring_index(address, "@", -1)), F.lit(m))
+    email = F.concat(F.regexp_extract(v, "^[._%+-]*", 0), F.lit("user"), F.lpad(number("local", 10**12).cast("string"), 12, "0"), F.lit("@d"),
                      F.lpad(number("domain", 10**6).cast("string"), 6, "0"), F.lit(".example"))
     octets = F.transform(F.split(v, r"\."), lambda o: o.cast("long"))
     ip = _let(feistel(key, tag("ip"), octets[0] * 256 + octets[1], octets[2] * 256 + octets[3], F.lit(65536), F.lit(65536)),
@@ -143,7 +149,11 @@ def pseudonym(key: str, v: Column, kind: Column) -> Column:
     card = put_back(v, _let(body, lambda b: F.concat(b, F.pmod(-luhn_sum(F.concat(b, F.lit("0"))), F.lit(10)).cast("string"))))
     head = F.greatest(F.length(d) - 10, F.lit(0))
     phone = put_back(v, F.concat(F.substr(d, F.lit(1), head), permute_digits(key, tag("phone"), F.substr(d, head + 1, F.length(d) - head))))
-    ssn = put_back(v, permute_digits(key, tag("ssn"), d))
+    # areas 001 to 899 without 666, groups from 01, serials from 0001: numbered, permuted among themselves and written again
+    n = lambda at, size: F.substr(d, F.lit(at), F.lit(size)).cast("long")
+    two = lambda x, size: F.lpad(x.cast("string"), size, "0")
+    ssn = put_back(v, _let(feistel(key, tag("ssn"), n(1, 3) - F.when(n(1, 3) > 666, 2).otherwise(1), (n(4, 2) - 1) * 9999 + n(6, 4) - 1, F.lit(898), F.lit(99 * 9999)),
+                           lambda x: F.concat(two(x["a"] + F.when(x["a"] >= 665, 2).otherwise(1), 3), two(F.floor(x["b"] / 9999) + 1, 2), two(x["b"] % 9999 + 1, 4))))
     return (F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "date", date).when(kind == "card", card)
             .when(kind == "phone", phone).when(kind == "ssn", ssn).otherwise(v))
 
@@ -222,19 +232,23 @@ def _times(kinds: Column, kind: str) -> Column:
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", counts: bool = True) -> DataFrame:
-    """``docs`` with values replaced in the text, and ``n_<kind>`` counts if asked for."""
-    t = F.col(text_col).cast("string")
+    """``docs`` with values replaced in the text, and ``n_<kind>`` counts if asked for.
+
+    A column of ``docs`` that has the name of a count gives way to it; no other
+    column is touched, whatever its name.
+    """
+    t, inside, kinds = docs[f"`{text_col}`"].cast("string"), fresh("found", docs), fresh("kinds", docs)
     touched = t.rlike("[0-9@]")
     none = F.array().cast("array<string>")
-    x = docs.withColumn("_found", F.when(touched, F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).otherwise(none))
-    x = x.withColumn("_found", F.transform("_found", parts_of))
-    x = x.withColumn("_kinds", F.transform(F.flatten("_found"), lambda p: p["kind"]))
-    some = F.size("_found") > 0
-    new = F.transform("_found", lambda ps: F.array_join(F.transform(ps, lambda p: F.when(p["kind"].isNull(), p["v"]).otherwise(pseudonym(key, p["v"], p["kind"]))), ""))
+    x = docs.withColumn(inside, F.when(touched, F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).otherwise(none))
+    x = x.withColumn(inside, F.transform(inside, parts_of))
+    x = x.withColumn(kinds, F.transform(F.flatten(inside), lambda p: p["kind"]))
+    some = F.size(inside) > 0
+    new = F.transform(inside, lambda ps: F.array_join(F.transform(ps, lambda p: F.when(p["kind"].isNull(), p["v"]).otherwise(pseudonym(key, p["v"], p["kind"]))), ""))
     gaps = F.split(t, ANY, -1)
     whole = F.array_join(F.zip_with(gaps, new, lambda g, v: F.concat(g, F.coalesce(v, F.lit("")))), "")
     x = x.withColumn(text_col, F.when(some, whole).otherwise(t))
     if counts:
         for kind in KINDS:
-            x = x.withColumn(f"n_{kind}", _times(F.col("_kinds"), kind))
-    return x.drop("_found", "_kinds")
+            x = x.withColumn(f"n_{kind}", _times(F.col(kinds), kind))
+    return x.drop(inside, kinds)
