@@ -61,7 +61,7 @@ class Kept(dict):
 class WordBpe:
     """``ids(word)``: the ids of a word that holds no white space inside."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = 400_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -126,7 +126,7 @@ class WordBpe:
             self.near_rank = back.tolist()
             raw = [self.id_of[r].tobytes() for r in self.near_rank]
             self.near_ids = raw.__getitem__
-        self.cores = Kept(self._core, 400_000)
+        self.cores = Kept(self._core, cache)
 
     def slow(self, text: str) -> np.ndarray:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4")
