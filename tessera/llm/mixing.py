@@ -23,14 +23,16 @@ is spread like any other.  The same input gives the same copies.
 
 Defined results: null text has size 0 and is taken 0 words; a null source is a
 source, last in order; a source without words has target 0; repeated rows are
-documents of their own; an empty table gives no rows; other columns are ignored.
+documents of their own; null ids are told apart by their whole rows; an empty
+table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tessera.operators.lineage import cut
+from tessera.llm.common import fresh
+from tessera.operators.lineage import few, store
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Sources of which the multipliers are broadcast, some MB; more are joined.
@@ -118,29 +120,30 @@ def _move(acc: Column, gap: Column, slope: Column, near: Column) -> Column:
 
 def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: int = 2, tilt: float = 0.25, block: int = 200,
         id_col="doc_id", text_col="text", source_col="source") -> DataFrame:
-    """``doc_id, size, source_size, target, taken, copies, nth`` of every row.
+    """``doc_id, size, source_size, target, taken, copies, row, nth`` of every row.
 
-    ``nth`` numbers equal ids, so that ``(doc_id, nth)`` names a row when rows
-    of an id are numbered by ``row_names``.
+    ``row`` is a hash of the whole row and ``nth`` numbers equal rows.
     """
-    # the text is reduced to its size and a hash before rows are numbered: it is never shuffled
-    small = docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), _row_hash(docs).alias("_h"))
-    named = small.withColumn("nth", F.row_number().over(Window.partitionBy("_id").orderBy("_h")))
-    rows = cut(named.select(F.col("_id").cast("long").alias("doc_id"), "nth", "source", "size"))
+    # the text is reduced to its size and a hash before rows are counted: it is never shuffled
+    small = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[source_col].cast("string").alias("source"),
+                        word_count(docs[text_col]).alias("size"), _row_hash(docs).alias("row"))
+    n = docs.count()
+    equal = small.groupBy("doc_id", "source", "size", "row").agg(F.count(F.lit(1)).alias("times"))
+    rows = store(equal.select("doc_id", "row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("nth"), "source", "size"), n)
     bins = rows.where("size > 0").groupBy("source", size_bin(F.col("size")).alias("bin")).agg(
         F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs"))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
     goal = targets(sizes.select("source", "source_size"), weights, share, most)
-    t = cut(multipliers(bins, goal, tilt, most))
+    t = multipliers(bins, goal, tilt, most)
     t = t.join(sizes.select(F.col("source").alias("s"), "docs"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    t = cut(t.select(F.col("source").alias("s"), "source_size", "target", "mean", "t", F.ceil(F.col("docs") / block).alias("blocks")))
+    t = store(t.select(F.col("source").alias("s"), "source_size", "target", "mean", "t", F.ceil(F.col("docs") / block).alias("blocks")), min(n, 10 * MOST_SOURCES))
     # a row per source: few, so that a hot source is not gathered by the join; beyond, Spark splits skewed joins itself
     t = F.broadcast(t) if t.count() <= MOST_SOURCES else t
     z = covariate(size_bin(F.greatest("size", F.lit(1))), F.col("mean"), tilt)
     rate = F.when(F.col("size") > 0, rate_of(F.col("t"), z, most)).otherwise(F.lit(1.0))
     each = rows.join(t, F.col("source").eqNullSafe(F.col("s"))).select(
-        "source", "source_size", "target", F.pmod(F.xxhash64("doc_id", "nth"), F.col("blocks")).alias("block"),
-        F.struct((-F.col("size")).alias("minus"), "doc_id", "nth", rate.alias("rate")).alias("d"))
+        "source", "source_size", "target", F.pmod(F.xxhash64("doc_id", "row", "nth"), F.col("blocks")).alias("block"),
+        F.struct((-F.col("size")).alias("minus"), "doc_id", "row", "nth", rate.alias("rate")).alias("d"))
     blocks = each.groupBy("source", "block").agg(
         F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.array_sort(F.collect_list("d")).alias("ds"))
 
@@ -156,25 +159,30 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: int = 2, t
     x = dealt.select("source_size", "target", F.explode(F.arrays_zip("ds", "copies")).alias("x"))
     return x.select(
         F.col("x.ds.doc_id").alias("doc_id"), (-F.col("x.ds.minus")).alias("size"), "source_size", "target",
-        (F.col("x.copies") * -F.col("x.ds.minus")).alias("taken"), F.col("x.copies").alias("copies"), F.col("x.ds.nth").alias("nth"))
-
-
-def row_names(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """``docs`` with ``nth``, a number that tells rows of one id apart.
-
-    Equal rows of one id may swap numbers, which changes nothing.
-    """
-    return docs.withColumn("nth", F.row_number().over(Window.partitionBy(F.col(id_col)).orderBy(_row_hash(docs))))
+        (F.col("x.copies") * -F.col("x.ds.minus")).alias("taken"), F.col("x.copies").alias("copies"), F.col("x.ds.row").alias("row"), F.col("x.ds.nth").alias("nth"))
 
 
 def _row_hash(docs: DataFrame) -> Column:
-    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    return F.xxhash64(*[docs[f"`{c}`"] for c in docs.columns])
 
 
 def mixed(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it."""
-    names = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).select(
-        F.col("doc_id").alias("_id"), F.col("nth").alias("_nth"), F.col("copies").alias("_copies"))
-    rows = row_names(docs, id_col, text_col)
-    both = rows.join(names, rows[id_col].cast("long").eqNullSafe(names["_id"]) & (rows["nth"] == names["_nth"]))
-    return both.where("_copies > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """The rows of ``docs``, each as often as the mix takes it.
+
+    Copies are found by id and row hash.  While they are few enough their table
+    is broadcast and no text moves; beyond that each text is shuffled once.
+    Equal rows are one row here, taken as often as all of them together.
+    """
+    own_id, own_row, copies = (fresh(n, docs) for n in ("id", "row", "copies"))
+    names = store(mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).groupBy("doc_id", "row").agg(
+        F.sum("copies").cast("int").alias(copies), F.count(F.lit(1)).alias("times")).withColumnsRenamed({"doc_id": own_id, "row": own_row}), docs.count())
+    rows = docs.withColumn(fresh("hash", docs), _row_hash(docs))
+    on = rows[f"`{id_col}`"].cast("long").eqNullSafe(names[own_id]) & (rows[fresh("hash", docs)] == names[own_row])
+
+    def taken(which: DataFrame, single: bool) -> DataFrame:
+        both = rows.join(few(which.drop("times"), which.count()), on)
+        both = both if single else both.dropDuplicates([own_id, own_row])
+        return both.withColumn(own_row, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+    out, several = taken(names.where(f"times = 1 and `{copies}` > 0"), True), names.where(f"times > 1 and `{copies}` > 0")
+    return out if several.isEmpty() else out.unionByName(taken(several, False))
