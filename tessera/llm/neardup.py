@@ -18,7 +18,8 @@
    are broadcast while they are few, so other texts are not moved), counts
    exact intersections over the postings of its shingles, and gives back a
    spanning forest of the pairs that reach the threshold.
-Lists and neighbourhoods of over ``BLOCK`` sets are verified as ``linked`` says.
+Lists of over ``BLOCK`` sets, and neighbourhoods of more sets, shingles or bytes
+than a block takes, are verified as ``linked`` says.
 
 Defined results: null, empty and blank texts have no shingles and are linked
 with nothing; texts shorter than a shingle are one shingle; repeated rows are
@@ -41,10 +42,10 @@ from tessera.llm.common import fresh, scan
 from tessera.operators.components import connected_components
 from tessera.operators.lineage import few, free, store
 
-K, SHORT, BLOCK, PIVOTS, SHINGLES = 64, 16, 2048, 4, 2_000_000
+K, SHORT, BLOCK, PIVOTS, SHINGLES, BYTES = 64, 16, 2048, 4, 1_000_000, 8_000_000
 SKETCH = StructType([
     StructField("doc_id", LongType()), StructField("n", LongType()), StructField("f1", LongType()),
-    StructField("f2", LongType()), StructField("sketch", ArrayType(LongType())),
+    StructField("f2", LongType()), StructField("bytes", LongType()), StructField("sketch", ArrayType(LongType())),
 ])
 
 
@@ -86,7 +87,7 @@ def _sketch_rows(size: int, k: int):
             mixed = s * weigh
             f1 = int(s.sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0
             f2 = int(np.bitwise_xor.reduce(mixed ^ (mixed >> np.uint64(31))).astype(np.int64)) if len(s) else 0
-            yield i, len(s), f1, f2, (s[:k] ^ np.uint64(1 << 63)).view(np.int64).tolist()
+            yield i, len(s), f1, f2, len((text or "").encode()), (s[:k] ^ np.uint64(1 << 63)).view(np.int64).tolist()
 
         return one
 
@@ -176,14 +177,15 @@ def _by_shingles(size: int, num: int, den: int):
     return run
 
 
-def linked(rows: DataFrame, key: str, check) -> DataFrame:
+def linked(rows: DataFrame, key: str, check, sets: int) -> DataFrame:
     """Edges ``a, b`` with the components of all links inside each group of ``key``.
 
     ``rows`` has ``key``, ``rep``, ``blocks`` (how many its group needs) and what
     ``check`` reads.  Groups of several blocks are first verified block by block,
     with the same few pivots as guests in every block: that joins uniform groups
     as a whole.  Only what stays outside a group's largest component is then
-    verified against the other blocks.
+    verified against the other blocks.  The edges are stored; ``sets`` is about
+    how many there may be.
     """
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     rows = rows.withColumn("x", own)
@@ -197,8 +199,8 @@ def linked(rows: DataFrame, key: str, check) -> DataFrame:
         whole = rows.unionByName(guests)
     else:
         whole = rows
-    first = store(whole.withColumn("side", F.lit(0)).withColumn("label", F.col("rep")).groupBy(key, "x").applyInArrow(check, PAIR))
-    return first.unionByName(_left_over(large.drop("x"), key, first, check)) if some else first
+    first = store(whole.withColumn("side", F.lit(0)).withColumn("label", F.col("rep")).groupBy(key, "x").applyInArrow(check, PAIR), sets)
+    return first.unionByName(store(_left_over(large.drop("x"), key, first, check), sets)) if some else first
 
 
 def _left_over(rows: DataFrame, key: str, edges: DataFrame, check, details: DataFrame | None = None) -> DataFrame:
@@ -206,7 +208,7 @@ def _left_over(rows: DataFrame, key: str, edges: DataFrame, check, details: Data
 
     ``details`` adds what ``check`` reads by ``rep`` to the rows that are still to be verified.
     """
-    label = connected_components(edges, "a", "b").withColumnRenamed("node", "rep")
+    label = connected_components(edges, "a", "b", stored=True).withColumnRenamed("node", "rep")
     left = rows.join(label, "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
     sizes = left.groupBy(key, "label").agg(F.count(F.lit(1)).alias("c"), F.first("blocks").alias("blocks")).groupBy(key).agg(
         F.max_by("label", F.struct("c", "label")).alias("top"), F.max("c").alias("most"), F.sum("c").alias("total"), F.first("blocks").alias("all"))
@@ -228,19 +230,20 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, size: int =
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     sk = store(scan(base, ["doc_id", "text"], _sketch_rows(size, K), SKETCH))
     classes = store(sk.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(
-        F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")))
-    hoods = connected_components(_candidates(classes, num, den), "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("hood"))
-    hoods = store(hoods.join(classes.groupBy("rep").agg(F.max("n").alias("n")), "rep"))
-    room = hoods.groupBy("hood").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / SHINGLES)).alias("blocks"))
-    members = store(hoods.join(room, "hood").select("rep", "hood", "blocks"))
+        F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.max("bytes").alias("bytes")))
+    sets = classes.count()
+    hoods = connected_components(_candidates(classes, num, den, sets), "a", "b", stored=True).select(F.col("node").alias("rep"), F.col("component").alias("hood"))
+    sized = hoods.join(classes.select("rep", "n", "bytes"), "rep")
+    room = sized.groupBy("hood").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / SHINGLES), F.ceil(F.sum("bytes") / BYTES)).alias("blocks"))
+    members = store(hoods.join(room, "hood").select("rep", "hood", "blocks"), sets)
     n = members.count()
     texts = base.withColumnRenamed("doc_id", "rep").join(few(members, n), "rep")
     if sk.select(F.col("doc_id").alias("rep")).join(few(members, n), "rep").count() > n:  # an id with several rows: all its texts count
         texts = texts.dropDuplicates(["rep", "text"])
-    comps = store(connected_components(linked(texts, "hood", _by_shingles(size, num, den)), "a", "b"))
+    comps = store(connected_components(linked(texts, "hood", _by_shingles(size, num, den), sets), "a", "b", stored=True), sets)
     labelled = classes.select("n", "f1", "f2", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select(
         "n", "f1", "f2", F.coalesce("component", "rep").alias("component_id"))
-    free(hoods, members)
+    free(members)
     out = sk.select("doc_id", "n", "f1", "f2").join(labelled, ["n", "f1", "f2"], "left")
     comp = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"),
@@ -257,7 +260,7 @@ def least_overlap(k: int, share: float, miss: float = 1e-9) -> int:
     return k
 
 
-def _candidates(classes: DataFrame, num: int, den: int) -> DataFrame:
+def _candidates(classes: DataFrame, num: int, den: int, sets: int) -> DataFrame:
     """Pairs ``a, b`` of representatives whose components hold every link."""
     overlap = least_overlap(K, num / den)
     each = classes.select("rep", F.explode("sketch").alias("v"))
@@ -268,7 +271,7 @@ def _candidates(classes: DataFrame, num: int, den: int) -> DataFrame:
     # sets smaller than a sketch are held whole
     need = F.least(F.ceil(F.col("len") * num / den), F.lit(overlap))
     rare = F.col("place") <= F.col("len") - need + 1 - (F.col("len") - F.col("shared"))
-    lists = store(ranked.where(rare).select("rep", "v", "n"))
+    lists = store(ranked.where(rare).select("rep", "v", "n"), 4 * sets)
     sizes = lists.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     lists = lists.join(sizes, "v")
     close = den * F.least("n", "m") >= num * F.greatest("n", "m")
@@ -279,12 +282,12 @@ def _candidates(classes: DataFrame, num: int, den: int) -> DataFrame:
     long = lists.where(F.col("c") > SHORT)
     pivots = long.groupBy("v").agg(F.min(F.struct(F.xxhash64("rep"), "rep", F.col("n").alias("m"))).alias("p")).select("v", F.col("p.rep").alias("b"), F.col("p.m").alias("m"))
     spokes = long.join(pivots, "v").where(close & (F.col("rep") != F.col("b"))).select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
-    near = store(_likely(short.unionByName(spokes).distinct(), classes, overlap))
+    near = store(_likely(short.unionByName(spokes).distinct(), classes, overlap), sets)
     # what a pivot does not join to its list is verified against the rest of the list
     rows = long.select("v", "rep", "n", F.ceil(F.col("c") / BLOCK).alias("blocks"))
     if not rows.isEmpty():
-        near = near.unionByName(store(_left_over(rows, "v", near, _by_sketch(K, overlap / K, num, den), classes.select("rep", "sketch"))))
-    return near.distinct()
+        near = near.unionByName(store(_left_over(rows, "v", near, _by_sketch(K, overlap / K, num, den), classes.select("rep", "sketch")), sets))
+    return near
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, overlap: int) -> DataFrame:
@@ -304,12 +307,13 @@ def keep_one(docs: DataFrame, num: int = 80, den: int = 100, size: int = 5, id_c
     that occur several times, are few enough to broadcast.
     """
     gone_id = fresh("id", docs)
-    gone = store(near_duplicates(docs, num, den, size, id_col, text_col).where("not kept").select(F.col("doc_id").alias(gone_id)).distinct())
+    gone = store(near_duplicates(docs, num, den, size, id_col, text_col).where("not kept").select(F.col("doc_id").alias(gone_id)).distinct(), docs.count())
     rest = docs.join(few(gone, gone.count()), docs[id_col].cast("long") == gone[gone_id], "left_anti")
-    several = store(docs.where(docs[id_col].isNotNull()).groupBy(docs[id_col].cast("long").alias(gone_id)).count().where("count > 1").select(gone_id))
+    several = docs.where(docs[id_col].isNotNull()).groupBy(docs[id_col].cast("long").alias(gone_id)).count().where("count > 1").select(gone_id)
     n = several.count()
     if not n:
         return rest
+    several = store(several, n)
     on, cols = rest[id_col].cast("long") == several[gone_id], docs.columns
     once = rest.join(few(several, n), on, "left_anti")
     return once.unionByName(rest.join(few(several, n), on, "left_semi").dropDuplicates([id_col, text_col]).select(*cols))
