@@ -41,7 +41,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, queries.WORD_BPE, size=4096, end_id=2)
+    # a small word cache: the same workers hold what the other stages need
+    return packing.pack(docs, queries.WORD_BPE, size=4096, end_id=2, cache=60_000)
 
 
 STAGES = [("toxicity", toxic), ("near_duplicates", near_duplicates), ("pseudonyms", pseudonyms), ("mixing", mix), ("packing", pack)]
