@@ -81,8 +81,10 @@ def build(name: str, v: Column, t: T.DataType, extra: list, tie: Column) -> Colu
         return F.when(F.max(v.isNull()), F.array_prepend(out, F.lit(None))).otherwise(out)
     if name == "group_count":
         seen = F.array_sort(F.collect_list(F.struct(v.alias("v"))))
-        kinds = F.array_distinct(seen)
-        return F.transform(kinds, lambda k: F.struct(k["v"].alias("value"), F.size(F.filter(seen, lambda x: x == k)).cast("bigint").alias("count")))
+        n = F.size(seen)
+        # runs of the sorted values: where they start, and how far the next one is
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: (n > 0) & ((i == 0) | ~F.get(seen, i).eqNullSafe(F.get(seen, i - 1))))
+        return F.transform(starts, lambda p, j: F.struct(F.get(seen, p)["v"].alias("value"), (F.coalesce(F.get(starts, j + 1), n) - p).cast("bigint").alias("count")))
     if name == "union":
         return F.array_sort(F.array_distinct(F.flatten(F.collect_list(v))))
     if name == "intersection":
