@@ -81,10 +81,16 @@ def build(name: str, v: Column, t: T.DataType, extra: list, tie: Column) -> Colu
         return F.when(F.max(v.isNull()), F.array_prepend(out, F.lit(None))).otherwise(out)
     if name == "group_count":
         seen = F.array_sort(F.collect_list(F.struct(v.alias("v"))))
-        n = F.size(seen)
-        # runs of the sorted values: where they start, and how far the next one is
-        starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: (n > 0) & ((i == 0) | ~F.get(seen, i).eqNullSafe(F.get(seen, i - 1))))
-        return F.transform(starts, lambda p, j: F.struct(F.get(seen, p)["v"].alias("value"), (F.coalesce(F.get(starts, j + 1), n) - p).cast("bigint").alias("count")))
+        # runs of the sorted values: where they start, and how far the next one is; each array is bound once
+        once = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
+
+        def runs(s):
+            first = lambda i: (i == 0) | ~F.get(s, i).eqNullSafe(F.get(s, i - 1))
+            starts = F.when(F.size(s) == 0, F.array().cast("array<int>")).otherwise(F.filter(F.sequence(F.lit(0), F.greatest(F.size(s) - 1, F.lit(0))), first))
+            return once(starts, lambda at: F.transform(at, lambda p, j: F.struct(
+                F.get(s, p)["v"].alias("value"), (F.coalesce(F.get(at, j + 1), F.size(s)) - p).cast("bigint").alias("count"))))
+
+        return once(seen, runs)
     if name == "union":
         return F.array_sort(F.array_distinct(F.flatten(F.collect_list(v))))
     if name == "intersection":
