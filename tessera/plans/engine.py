@@ -190,6 +190,9 @@ def atom_vars(a) -> set[str]:
 class Engine:
     """Evaluates programs against a catalog of relations."""
 
+    #: Whether an atom that binds no new variable only has to hold once.
+    holds = False
+
     def __init__(self, spark: SparkSession, catalog=None, max_epochs: int = 1_000_000, max_rows: int | None = None):
         self.spark, self.catalog, self.max_epochs, self.max_rows = spark, catalog, max_epochs, max_rows
         self.extra: dict[str, DataFrame] = {}
@@ -305,7 +308,12 @@ class Engine:
             return [self._constant(r)]
         if r.algo:
             return [self._algorithm(r, env)]
-        return [self._project(self._body(d, env), r) for d in disjuncts(r.body)]
+        # aggregates count derivations; elsewhere an atom that binds nothing new only has to hold
+        before, self.holds = self.holds, not any(h.aggr for h in r.head)
+        try:
+            return [self._project(self._body(d, env), r) for d in disjuncts(r.body)]
+        finally:
+            self.holds = before
 
     def _project(self, f: Frame, r: Rule) -> DataFrame:
         return f.df.select(*[f.expr(Var(h.var)).alias(f"c{k}") for k, h in enumerate(r.head)])
@@ -422,7 +430,7 @@ class Engine:
         if isinstance(a, SearchAtom):
             return self.catalog.search(self, a, f, env)
         right, names, _ = self._relation(a, f, env)
-        return join(f, right, names)
+        return join(f, right, names, "left_semi" if self.holds and f.bound and names and set(names) <= set(f.bound) else "inner")
 
     def _stored(self, a: StoredAtom) -> DataFrame:
         if a.name in self.extra:
