@@ -67,7 +67,8 @@ script("triggers", [":create log {k: Int => v: Int}", ":create source {k: Int =>
 script("catalog_commands", [_CREATE, "::describe land 'nations'", "::rename land -> country", "::access_level protected country", "?[k, n, g] := *country{k, n, g}"], _land(), ["k", "n", "g"])
 script("compacted", [_CREATE, "?[k] := *land{k, g: 1} :rm land {k}", "::compact", _READ], _land(" WHERE n_regionkey <> 1"), ["k", "n", "g"])
 script("columns_of_a_relation", [_CREATE, "::columns land"], "SELECT * FROM (VALUES ('k', true, 0::INTEGER, 'Int'), ('n', false, 1, 'String'), ('g', false, 2, 'Int')) t(a, b, c, d)", ["a", "b", "c", "d"])
-script("verified_program", [_CREATE, "::verify { t[a, b] := *land{k: a, g: b}; t[a, c] := t[a, b], *land{k: b, g: c}; ?[a, b] := t[a, b] }"], None, ["status", "message"])
+script("verified_program", [_CREATE, "::verify { t[a, b] := *land{k: a, g: b}; t[a, c] := t[a, b], *land{k: b, g: c}; ?[a, b] := t[a, b] }"],
+       "WITH RECURSIVE t(a, b) AS (SELECT n_nationkey, n_regionkey FROM nation UNION SELECT t.a, n_regionkey FROM t JOIN nation ON n_nationkey = t.b) SELECT 'match' AS status, CAST(count(*) AS VARCHAR) AS message FROM t", ["status", "message"])
 script("unit_relation", ["u[] <- [[]]; ?[k] := u[], *nation{n_nationkey: k}"], "SELECT n_nationkey::BIGINT AS k FROM nation", ["k"])
 script("nested_negation", ["a[k] := *nation{n_nationkey: k, n_regionkey: g}, not (g == 1 or (k > 10, g < 3)); ?[k] := a[k]"], "SELECT n_nationkey::BIGINT AS k FROM nation WHERE NOT (n_regionkey = 1 OR (n_nationkey > 10 AND n_regionkey < 3))", ["k"])
 script("repeated_variable", ["?[k] := *nation{n_nationkey: k, n_regionkey: k}"], "SELECT n_nationkey::BIGINT AS k FROM nation WHERE n_nationkey = n_regionkey", ["k"])
