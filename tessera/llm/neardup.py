@@ -30,7 +30,6 @@ ids take no part in components (their component is null, and they are kept); an
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +37,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from tessera.llm.common import fresh, scan
+from tessera.llm.common import fresh, give_back, scan
 from tessera.operators.components import connected_components
 from tessera.operators.lineage import few, free, store
 
 K, SHORT, BLOCK, PIVOTS, SHINGLES, BYTES = 64, 16, 2048, 4, 1_000_000, 8_000_000
+LARGE = 1_000_000  # bytes of a group that are worth giving back at once
 SKETCH = StructType([
     StructField("doc_id", LongType()), StructField("n", LongType()), StructField("f1", LongType()),
     StructField("f2", LongType()), StructField("bytes", LongType()), StructField("sketch", ArrayType(LongType())),
@@ -50,6 +50,8 @@ SKETCH = StructType([
 
 
 class _Words(dict):
+    """Hashes of words, for one task: kept by the worker they would stay through all later stages."""
+
     def __missing__(self, w):
         if len(self) >= 200_000:
             self.clear()
@@ -57,17 +59,12 @@ class _Words(dict):
         return h
 
 
-@lru_cache(maxsize=1)
-def _words():
-    return _Words()
-
-
-def shingles(text: str | None, size: int) -> np.ndarray:
+def shingles(text: str | None, size: int, hashes: _Words) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles of a text."""
     words = (text or "").encode().lower().split()  # bytes: only A-Z change, only ASCII white space splits
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_words().__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     n = max(1, len(h) - size + 1)
     x = np.full(n, np.uint64(min(len(h), size)))
     for j in range(min(size, len(h))):
@@ -80,10 +77,10 @@ def shingles(text: str | None, size: int) -> np.ndarray:
 
 def _sketch_rows(size: int, k: int):
     def start():
-        weigh = np.uint64(0xC2B2AE3D27D4EB4F)
+        weigh, hashes = np.uint64(0xC2B2AE3D27D4EB4F), _Words()
 
         def one(i, text):
-            s = shingles(text, size)
+            s = shingles(text, size, hashes)
             mixed = s * weigh
             f1 = int(s.sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0
             f2 = int(np.bitwise_xor.reduce(mixed ^ (mixed >> np.uint64(31))).astype(np.int64)) if len(s) else 0
@@ -168,15 +165,28 @@ def _by_sketch(k: int, least: float, num: int, den: int):
 
 def _by_shingles(size: int, num: int, den: int):
     """Rows of a neighbourhood -> edges that reach the threshold on full sets."""
+    hashes = _Words()  # each task reads an empty one of its own
 
     def run(t: pa.Table) -> pa.Table:
-        sets = [shingles(x, size) for x in t["text"].to_pylist()]
+        sets = [shingles(x, size, hashes) for x in t["text"].to_pylist()]
         n = np.array([len(x) for x in sets])
         return forest(t, sets, lambda i, both: (both > 0) & (den * both >= num * (n + n[i] - both)))
 
     return run
 
 
+def _lean(check):
+    """``check`` that gives back what a large group took."""
+
+    def run(t: pa.Table) -> pa.Table:
+        edges = check(t)
+        if t.nbytes > LARGE:
+            give_back()
+        return edges
+
+    return run
+
+
 def linked(rows: DataFrame, key: str, check, sets: int) -> DataFrame:
     """Edges ``a, b`` with the components of all links inside each group of ``key``.
 
@@ -199,7 +209,7 @@ def linked(rows: DataFrame, key: str, check, sets: int) -> DataFrame:
         whole = rows.unionByName(guests)
     else:
         whole = rows
-    first = store(whole.withColumn("side", F.lit(0)).withColumn("label", F.col("rep")).groupBy(key, "x").applyInArrow(check, PAIR), sets)
+    first = store(whole.withColumn("side", F.lit(0)).withColumn("label", F.col("rep")).groupBy(key, "x").applyInArrow(_lean(check), PAIR), sets)
     return first.unionByName(store(_left_over(large.drop("x"), key, first, check), sets)) if some else first
 
 
@@ -222,7 +232,7 @@ def _left_over(rows: DataFrame, key: str, edges: DataFrame, check, details: Data
     # blocks of the rest among themselves: r <= m
     pairs = rest.withColumn("o", to("rb")).withColumn("side", F.when(F.col("o") == F.col("r"), 0).when(F.col("r") < F.col("o"), 1).otherwise(2))
     pairs = pairs.withColumn("m", -1 - F.greatest("r", "o")).withColumn("r", F.least("r", "o")).drop("o")
-    return both.unionByName(pairs).groupBy(key, "r", "m").applyInArrow(check, PAIR)
+    return both.unionByName(pairs).groupBy(key, "r", "m").applyInArrow(_lean(check), PAIR)
 
 
 def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, size: int = 5, id_col="doc_id", text_col="text") -> DataFrame:

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from tessera.llm.common import scan
+from tessera.llm.common import give_back, scan
 
 INSULTS = frozenset(
     "idiot idiots moron morons stupid dumb loser losers trash scum scumbag pathetic worthless disgusting clown clowns"
@@ -263,7 +263,11 @@ def reject(docs: DataFrame, labels: DataFrame, sample_rows: int = 8_000, id_col=
         import pyarrow as pa
 
         for b in batches:
-            keep = [model.value.score(t or "") < 0.5 for t in b.column(at).cast(pa.string()).to_pylist()]
-            yield b.filter(pa.array(keep, pa.bool_()))
+            for start in range(0, b.num_rows, 256):
+                part = b.slice(start, 256)
+                keep = [model.value.score(t or "") < 0.5 for t in part.column(at).cast(pa.string()).to_pylist()]
+                yield part.filter(pa.array(keep, pa.bool_()))
+            del b, part
+        give_back()
 
     return docs.mapInArrow(run, S(docs.schema.fields))

@@ -1,5 +1,11 @@
 """The pipeline's stages, each against what its operator promises for that stage's own input."""
 
+import random
+import subprocess
+import sys
+from pathlib import Path
+
+import pyarrow as pa
 import pytest
 from conftest import DATA
 
@@ -100,3 +106,80 @@ def test_whole_runs_with_odd_rows(spark, stages, tmp_path):
     assert whole.columns == stages["packing"][3].columns and whole.count() > 0
     first = whole.where("start = 0").groupBy("doc_id").count().collect()
     assert {r["doc_id"] for r in first} == {r["doc_id"] for r in table.select("doc_id").distinct().collect()}
+
+
+def test_batches_of_whole_texts_are_bounded_in_bytes(spark, frame):
+    """Rows alone (10,000 of them) bound no memory: a batch ends by its bytes too, unless the session says otherwise."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+
+    def largest():
+        def sizes(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                yield pa.record_batch({"n": pa.array([b.nbytes], pa.int64())})
+
+        texts = spark.range(3000, numPartitions=1).selectExpr("repeat('x', 10000) text")
+        return max(r["n"] for r in texts.mapInArrow(sizes, "n long").collect())
+
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.unset(key)
+            stage(spark, frame([(1, "a b c d e f")]), DATA)
+            assert largest() < 10_000_000
+        spark.conf.set(key, "2m")
+        corpus_pipeline.pseudonyms(spark, frame([(1, "a b c d e f")]), DATA)
+        assert spark.conf.get(key) == "2m"
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
+WORKER = """
+import re, sys
+sys.path[:0] = [{repo!r}]
+import pandas
+import pyarrow as pa
+from pyspark.sql.pandas.types import to_arrow_schema
+from tessera.llm import common, neardup, toxicity
+
+class Frame:  # hands out the function that maps its batches
+    columns, schema = ["doc_id", "text"], type("S", (), {{"fields": []}})()
+    select = lambda self, *_: self
+    mapInArrow = lambda self, run, _: run
+    where = lambda self, _: self
+    sparkSession = type("S", (), {{"sparkContext": type("C", (), {{"broadcast": staticmethod(lambda m: type("B", (), {{"value": m}}))}})}})
+
+def held():
+    with open("/proc/self/smaps_rollup") as f:
+        return sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", f.read()))) / 1024
+
+def task():
+    if {name!r} == "toxicity":
+        return toxicity.reject(Frame(), Frame())
+    return common.scan(Frame(), ["doc_id", "text"], neardup._sketch_rows(5, neardup.K), neardup.SKETCH)
+
+toxicity.train = lambda *_: toxicity.Model(["a b c"] * 20 + ["you idiot"] * 20, [0] * 20 + [1] * 20)
+toxicity.held_out = lambda *_: 0
+to_arrow_schema(neardup.SKETCH)
+before, rows = held(), 0
+for _ in range(3):
+    with open({path!r}, "rb") as f:
+        rows += sum(b.num_rows for b in task()(pa.ipc.open_stream(f)))
+print(rows, held() - before)
+"""
+
+
+@pytest.mark.parametrize("name,most", [("toxicity", 25), ("near_duplicates", 52)])
+def test_workers_give_back_what_a_stage_took(name, most, tmp_path):
+    """Workers go on to the next stage: what each of them leaves behind would add up in the executor."""
+    rng, path = random.Random(1), str(tmp_path / "batches")
+    t = pa.table({"doc_id": range(10_000), "text": [" ".join(f"w{rng.randrange(10**6)}" for _ in range(300)) for _ in range(10_000)]})
+    with pa.ipc.new_stream(path, t.schema) as out:
+        out.write_table(t)
+        out.write_table(t)
+    code = WORKER.format(repo=str(Path(corpus_pipeline.__file__).parent), name=name, path=path)
+    ran = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    assert ran.returncode == 0, ran.stderr
+    rows, held = map(float, ran.stdout.split())
+    assert rows == 60_000 and held < most
