@@ -112,3 +112,12 @@ def test_numbers_in_literals(value):
     assert value("0xff") == 255 and value("0b101") == 5 and value("0o17") == 15 and value("1_000") == 1000 and value("1e3") == 1000.0
     assert value("'it\\'s'") == "it's" and value('___"raw "quoted" text"___') == 'raw "quoted" text'
     assert json.loads(value("dump_json({'a': {'b': [1, null]}})")) == {"a": {"b": [1, None]}}
+
+
+def test_asinh_is_accurate_near_zero(db):
+    import math
+
+    xs = [n * 0.01 / 20000 for n in range(-1999, 2000, 2)]
+    db.attach("xs", db.spark.createDataFrame(list(enumerate(xs)), "i long, x double"), ["i"])
+    got = dict(map(tuple, db.run("?[i, y] := *xs{i, x}, y = asinh(x)").collect()))
+    assert max(abs(got[i] - math.asinh(x)) / abs(x) for i, x in enumerate(xs)) < 1e-15
