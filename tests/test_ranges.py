@@ -45,3 +45,19 @@ def test_programs_use_the_range_join(db, rows):
     plan = db.run(q)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert rows(t + "?[k, m] := a[k, s, e], b[m, u, v], i = make_interval(s, e), j = make_interval(u, v), interval_intersects(j, i), m > 7") == {(2, 8)}
+
+
+def test_pairs_of_rows_told_apart_are_not_shuffled_again(spark, db):
+    text = "?[k, s] := *a{k, lo}, i = make_interval(lo, lo + 3), *b{s, at}, j = make_interval(at, at + 2), interval_intersects(i, j)"
+
+    def run(a, b):
+        db.attach("a", spark.createDataFrame(a, "k long, lo long"))
+        db.attach("b", spark.createDataFrame(b, "s long, at long"))
+        df = db.run(text)
+        return sorted(map(tuple, df.collect())), df._jdf.queryExecution().optimizedPlan().toString().split("Join")[0].count("Aggregate")
+
+    got, again = run([(1, 0), (2, 5)], [(7, 1), (8, 100)])
+    assert got == [(1, 7)] and again == 0
+    # a key that stands twice still gives a set
+    got, again = run([(1, 0), (1, 1), (2, 5)], [(7, 1), (8, 100)])
+    assert got == [(1, 7)] and again == 1
